@@ -22,9 +22,9 @@ def groupable_tags(tags: Column, kind: Column) -> Column:
 
 
 def _contract(edges: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One round: hook every tag on its smallest neighbour, jump once, contract."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     hooked = both.groupBy("u").agg(F.least(F.min("u"), F.min("v")).alias("parent"))
-    hooked = materialise(hooked)
     above = hooked.select(F.col("u").alias("parent"), F.col("parent").alias("grand"))
     parents = materialise(
         hooked.join(above, "parent", "left").select("u", F.coalesce("grand", "parent").alias("parent"))
@@ -41,7 +41,7 @@ def _contract(edges: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame
         .select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v"))
         .distinct()
     )
-    return materialise(contracted), materialise(relabelled)
+    return materialise(contracted), relabelled
 
 
 def tag_components(atoms: DataFrame) -> DataFrame:
@@ -50,14 +50,12 @@ def tag_components(atoms: DataFrame) -> DataFrame:
         atoms.select(groupable_tags(F.col("tags"), F.col("kind")).alias("tags")).distinct()
     )
     labels = sets.select(F.explode("tags").alias("tag")).distinct().withColumn("component", F.col("tag"))
-    edges = materialise(
-        sets.where(F.size("tags") > 1)
-        .select(F.element_at("tags", 1).alias("u"), F.explode(F.slice("tags", 2, 2147483647)).alias("v"))
-        .distinct()
-    )
+    edges = sets.where(F.size("tags") > 1).select(
+        F.element_at("tags", 1).alias("u"), F.explode(F.slice("tags", 2, 2147483647)).alias("v")
+    ).distinct()
     while not edges.isEmpty():
         edges, labels = _contract(edges, labels)
-    return labels
+    return materialise(labels)
 
 
 def with_component(atoms: DataFrame, components: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def tag_set_sizes(atoms: DataFrame) -> DataFrame:
 
 def _subsets(tags: Column) -> Column:
     """All non-empty subsets of a short sorted array, each sorted."""
-    masks = F.sequence(F.lit(1), F.shiftleft(F.lit(1), F.size(tags)) - 1)
+    masks = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size(tags)) - 1)
     return F.transform(
         masks,
         lambda mask: F.filter(

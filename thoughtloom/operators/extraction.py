@@ -8,6 +8,7 @@ from collections.abc import Callable, Mapping
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from thoughtloom.functions import scoring, text
 from thoughtloom.functions.rules import (
@@ -55,7 +56,6 @@ def extract(fragments: DataFrame, fn: Callable[[str, str], Mapping]) -> DataFram
     )
 
 
-@F.pandas_udf("string")
 def _first_object(raw: pd.Series) -> pd.Series:
     """First decodable JSON object inside a text, or null."""
     decoder = json.JSONDecoder()
@@ -134,7 +134,7 @@ def normalise_signals(df: DataFrame, raw_col: str, min_confidence: float = MIN_C
     parsed = (
         df.withColumn("_body", body)
         .withColumn("_whole", whole)
-        .withColumn("_found", _first_object(F.when(F.col("_whole").isNull() & ~degenerate, F.col("_body"))))
+        .withColumn("_found", F.pandas_udf(_first_object, T.StringType())(F.when(F.col("_whole").isNull() & ~degenerate, F.col("_body"))))
         .withColumn("_json", F.coalesce(F.col("_whole"), F.try_parse_json(F.col("_found"))))
     )
     kind = F.when(F.col("_kind").isin(*SIGNAL_KINDS), F.col("_kind")).otherwise(F.lit("note"))

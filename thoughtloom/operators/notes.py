@@ -17,6 +17,7 @@ from thoughtloom.functions import scoring, text
 from thoughtloom.functions.rounding import round_half_even
 from thoughtloom.functions.rules import DECISION_KINDS, FRICTION_KINDS, FRICTION_TAGS, NOTE_TITLES
 from thoughtloom.operators.components import component_anchor, tag_components, with_component
+from thoughtloom.session import materialise
 
 NOTES_FOLDER = "Digested Notes"
 
@@ -67,9 +68,10 @@ def build_notes(
     components: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(notes, note_sources) of every component with at least ``min_atoms`` atoms."""
+    # Seven branches read the members, so their labels are computed only once.
+    narrow = materialise(atoms.select("id", "source", "summary", "kind", "tags", "importance", "activation"))
     if components is None:
-        components = tag_components(atoms)
-    narrow = atoms.select("id", "source", "summary", "kind", "tags", "importance", "activation")
+        components = tag_components(narrow)
     members = with_component(narrow, components)
     typed = members.withColumn("atom_type", note_type(F.col("kind"), F.col("tags")))
     headers = (
@@ -83,7 +85,7 @@ def build_notes(
             F.bit_xor(F.xxhash64("id")).alias("id_xor"),
         )
         .where(F.col("atom_count") >= min_atoms)
-        .join(component_anchor(atoms, components).select("component", "anchor"), "component")
+        .join(component_anchor(narrow, components).select("component", "anchor"), "component")
         .withColumn(
             "note_type",
             F.when(F.col("any_friction"), F.lit("friction_note"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,11 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint folder (eager)."""
+    """Write a frame to the shared folder and read it back.
+
+    Cuts lineage, survives lost executors, and gives later stages pruned
+    columnar reads and real sizes to plan joins with.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark)}/frame-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def build_session(master: str = "local[*]", partitions: int = 8, app: str = "thoughtloom") -> SparkSession:
