@@ -2,6 +2,7 @@
 
 from thoughtloom.catalog import (  # noqa: F401
     graph_queries,
+    memory_queries,
     text_queries,
 )
 from thoughtloom.catalog.common import ORACLES, QUERIES  # noqa: F401

@@ -55,8 +55,12 @@ def place(file, major, minor):
     ).alias("scan_order")
 
 
-def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations")
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def conversation_columns(rows: DataFrame) -> DataFrame:
     source = F.concat(
         F.lit("conversation["), F.col("conv_id").cast("string"), F.lit("]:message["), F.col("turn").cast("string"), F.lit("]")
     )
@@ -72,6 +76,10 @@ def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_columns(table(spark, sf_dir, "conversations"))
+
+
 def conversation_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_fragments(conversation_turns(spark, sf_dir))
 
