@@ -139,25 +139,28 @@ def latent(
         }
     )
 
-    def ranking(score: str) -> DataFrame:
-        window = Window.partitionBy("question_id").orderBy(F.desc(score), *[F.asc(c) for c in tie])
-        return (
-            scored.withColumn(f"{score}_rank", F.row_number().over(window))
-            .where(F.col(f"{score}_rank") <= k)
-            .select("question_id", "id", f"{score}_rank")
-        )
-
-    never = F.lit(2 * k + 2)
-    place = F.least(
-        F.coalesce(2 * F.col("reliable_rank") - 2, never),
-        F.coalesce(2 * F.col("weird_rank") - 1, never),
+    # Both rankings share one pass: each row is offered to either list, and the
+    # rank filter is applied inside every map task before the shuffle.
+    offers = scored.select(
+        "question_id",
+        "id",
+        *[c for c in tie if c != "id"],
+        F.inline(
+            F.array(
+                *[F.struct(F.lit(name).alias("ranking"), F.col(name).alias("score")) for name in ("reliable", "weird")]
+            )
+        ),
+    )
+    best = Window.partitionBy("question_id", "ranking").orderBy(F.desc("score"), *[F.asc(c) for c in tie])
+    listed = offers.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    ranks = listed.groupBy("question_id", "id").agg(
+        F.min(F.when(F.col("ranking") == "reliable", F.col("place"))).alias("reliable_rank"),
+        F.min(F.when(F.col("ranking") == "weird", F.col("place"))).alias("weird_rank"),
     )
-    final = Window.partitionBy("question_id").orderBy("place")
+    turn = F.least(2 * F.col("reliable_rank") - 2, 2 * F.col("weird_rank") - 1)
+    final = Window.partitionBy("question_id").orderBy(turn)
     return (
-        ranking("reliable")
-        .join(ranking("weird"), ["question_id", "id"], "full_outer")
-        .withColumn("place", place)
-        .withColumn("rank", F.row_number().over(final))
+        ranks.withColumn("rank", F.row_number().over(final))
         .where(F.col("rank") <= k)
         .select("question_id", "rank", "id", "reliable_rank", "weird_rank")
     )

@@ -147,11 +147,11 @@ def _line_turns(lines: DataFrame) -> DataFrame:
     return plain.unionByName(_turns(fanned, nested, _message_columns(F.col("message"))))
 
 
-def _documents(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def _documents(spark: SparkSession, paths: Sequence[str], glob: str) -> DataFrame:
     """One row per JSON document: the unwrapped root and its item list."""
     files = (
         spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.json")
+        .option("pathGlobFilter", glob)
         .text(list(paths), wholetext=True)
         .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"))
     )
@@ -233,8 +233,8 @@ def read_json_lines(spark: SparkSession, paths: Sequence[str], glob: str = "*.js
     return _line_turns(numbered_lines(spark, paths, glob))
 
 
-def read_json_documents(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    documents = _documents(spark, paths)
+def read_json_documents(spark: SparkSession, paths: Sequence[str], glob: str = "*.json") -> DataFrame:
+    documents = _documents(spark, paths, glob)
     is_export = F.coalesce(
         F.exists("items", lambda item: _get(item, "$.mapping").isNotNull()), F.lit(False)
     )
