@@ -166,10 +166,10 @@ def build_queue(
     Duplicate filters work inside one collector, so ``scan_order`` is made
     unique by the collector name.
     """
+    columns = ["id", "source_file", "source", "role", "text", "timestamp"]
     offered = queue.union_collectors(
         **{
-            name: df.select("id", "source_file", "source", "role", "text", "timestamp", F.to_json(F.struct("scan_order")).alias("_place"), "scan_order")
-            .select("*", F.struct(F.lit(name).alias("collector"), F.col("scan_order").alias("at")).alias("order_key"))
+            name: df.select(*columns, F.struct(F.lit(name).alias("collector"), "scan_order").alias("order_key"))
             for name, df in collectors.items()
         }
     )

@@ -83,5 +83,9 @@ def split_transcripts(transcripts: DataFrame, text_col: str = "raw_text", prefix
 
 
 def transcript_order() -> Column:
-    """Scan order of split transcripts, unique per turn."""
-    return F.struct("sort_time", "session_id", "turn_index")
+    """Scan order of split transcripts, unique per turn, in the shape of file turns."""
+    return F.struct(
+        F.concat_ws("\u0000", "sort_time", "session_id").alias("file"),
+        F.col("turn_index").cast("bigint").alias("major"),
+        F.lit(0).cast("bigint").alias("minor"),
+    )
