@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from thoughtloom.functions import text
 from thoughtloom.operators.fragments import clean_fragments, rules_atoms
+from thoughtloom.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,8 +46,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# Tables whose rows carry whole texts: their work is worth spreading.
+_TEXT_TABLES = ("documents", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in _TEXT_TABLES else rows
 
 
 def place(file, major, minor):

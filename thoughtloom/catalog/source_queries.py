@@ -66,7 +66,7 @@ def chat_lines_scan(spark, sf_dir):
 def chat_message_lists(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
     message = F.struct("turn", F.struct("role", F.col("text").alias("content")).alias("m"))
-    talks = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("ms"))
+    talks = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(message)).alias("ms"))
     path = _written(talks.select(F.to_json(F.struct(F.col("ms.m").alias("messages")))), spark, "talks")
     scanned = read_json_lines(spark, [path], glob="*.txt")
     return scanned.select("role", "text", F.col("scan_order.minor").alias("turn"))
@@ -79,7 +79,7 @@ def _chats(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
     marker = F.when(F.col("role") == "user", F.lit("[User]: ")).otherwise(F.lit("[Assistant]:\n"))
     spoken = rows.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", F.concat(marker, "text").alias("said")))).alias("turns")
+        F.sort_array(F.collect_list(F.struct("turn", F.concat(marker, "text").alias("said")))).alias("turns")
     )
     c = F.col("conv_id")
     return spoken.select(
@@ -308,7 +308,7 @@ def _runs(spark, sf_dir):
     return (
         rows.select("conv_id", "turn", block.alias("block"), me.alias("me"))
         .groupBy("conv_id")
-        .agg(F.array_sort(F.collect_list(F.struct("turn", "block", "me"))).alias("b"))
+        .agg(F.sort_array(F.collect_list(F.struct("turn", "block", "me"))).alias("b"))
         .select(
             F.col("conv_id").alias("run_id"),
             F.concat(F.lit("Here you are.\n"), F.array_join("b.block", "")).alias("output_text"),
@@ -357,7 +357,7 @@ def chat_export_scan(spark, sf_dir):
         ).alias("message")
     )
     entry = F.struct("turn", F.concat(F.lit("n"), F.col("turn").cast("string")).alias("k"), node.alias("v"))
-    talks = rows.groupBy("conv_id").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.struct(e["k"], e["v"]))).alias("mapping"))
+    talks = rows.groupBy("conv_id").agg(F.map_from_entries(F.transform(F.sort_array(F.collect_list(entry)), lambda e: F.struct(e["k"], e["v"]))).alias("mapping"))
     # A document per conversation keeps each file small whatever the table size.
     documents = talks.select(F.to_json(F.array(F.struct("mapping"))))
     path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"

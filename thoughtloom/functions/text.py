@@ -65,16 +65,21 @@ def collapse_spaces(text: Column) -> Column:
 
 def casefold(text: Column) -> Column:
     """Lower case plus the full-fold cases that occur in running text."""
-    return F.replace(F.translate(F.lower(text), "ςſ", "σs"), F.lit("ß"), F.lit("ss"))
+    folded = F.lower(text)
+    for letter, fold in (("ς", "σ"), ("ſ", "s"), ("ß", "ss")):
+        folded = F.replace(folded, F.lit(letter), F.lit(fold))
+    return folded
 
 
 def clean_text(text: Column) -> Column:
     return collapse_spaces(F.regexp_replace(text, REMINDER_PATTERN, " "))
 
 
+_TOOL_NOISE = r"(?U)\s*(?iu:" + "|".join(TOOL_PREFIXES) + ")"
+
+
 def is_tool_noise(text: Column) -> Column:
-    folded = casefold(strip(text))
-    return _any(F.startswith(folded, F.lit(prefix)) for prefix in TOOL_PREFIXES)
+    return F.rlike(text, F.lit(r"\A" + _TOOL_NOISE))
 
 
 def fragment_predicate(
@@ -84,10 +89,13 @@ def fragment_predicate(
     max_chars: int | None = None,
     contains: Iterable[str] = (),
 ) -> Column:
-    """Keep-condition on cleaned text: not tool noise, length bounds, needles."""
-    keep = ~is_tool_noise(text) & (F.length(text) >= min_chars)
-    if max_chars is not None:
-        keep = keep & (F.length(text) <= max_chars)
+    """Keep-condition on cleaned text: not tool noise, length bounds, needles.
+
+    Noise and length share one pattern: a filter is pushed below the projection
+    that cleans the text, and each mention of the column there cleans it again.
+    """
+    length = f"{{{min_chars}}}" if max_chars is None else f"{{{min_chars},{max_chars}}}\\z"
+    keep = F.rlike(text, F.lit(r"(?s)\A(?!" + _TOOL_NOISE + ")(?s:.)" + length))
     needles = [needle.casefold() for needle in contains if needle.strip()]
     if needles:
         folded = casefold(text)
@@ -95,6 +103,13 @@ def fragment_predicate(
     return keep
 
 
+# A cheap superset of the disposable forms: most texts are settled by it.
+_SUSPICIOUS = (
+    r"(?iu)(?U)\A[\s\x1C-\x1F]*(?:\z|[\w.-]+@)|<command-|/remote-control is active| cat > "
+    r"|python3 -m pytest -q|" + RECAP_MARKER
+)
+
+
 def is_disposable(text: Column) -> Column:
     folded = casefold(strip(text))
 
@@ -117,11 +132,16 @@ def is_disposable(text: Column) -> Column:
         | (_any(begins(p) for p in RECAP_PREFIXES_WITH_NEXT) & has(RECAP_NEXT))
         | _any(_all(has(m) for m in group) for group in RECAP_PAIRS)
     )
-    return (folded == "") | command | begins(REMOTE_CONTROL_PREFIX) | shell | coding | recap
+    detail = (folded == "") | command | begins(REMOTE_CONTROL_PREFIX) | shell | coding | recap
+    return F.when(F.rlike(text, F.lit(_SUSPICIOUS)), detail).otherwise(F.lit(False))
 
 
 def normalize_for_dedupe(text: Column) -> Column:
-    folded = F.replace(casefold(text), F.lit(RECAP_NOTICE), F.lit(" "))
+    return normalized_of(casefold(text))
+
+
+def normalized_of(folded: Column) -> Column:
+    folded = F.replace(folded, F.lit(RECAP_NOTICE), F.lit(" "))
     return collapse_spaces(F.regexp_replace(folded, URL_PATTERN, " "))
 
 
@@ -157,7 +177,11 @@ def _rule_hit(folded: Column, needles: Iterable[str], whole_words: bool) -> Colu
 
 
 def classify_kind(text: Column, rules: Rules = DEFAULT_KIND_RULES, *, whole_words: bool = False) -> Column:
-    folded = casefold(text)
+    return kind_of(casefold(text), rules, whole_words=whole_words)
+
+
+def kind_of(folded: Column, rules: Rules = DEFAULT_KIND_RULES, *, whole_words: bool = False) -> Column:
+    """``classify_kind`` for text that is already case-folded."""
     result = None
     for kind, needles in rules:
         hit = _rule_hit(folded, needles, whole_words)
@@ -166,7 +190,11 @@ def classify_kind(text: Column, rules: Rules = DEFAULT_KIND_RULES, *, whole_word
 
 
 def infer_tags(text: Column, rules: Rules = DEFAULT_TAG_RULES, *, whole_words: bool = False) -> Column:
-    folded = casefold(text)
+    return tags_of(casefold(text), rules, whole_words=whole_words)
+
+
+def tags_of(folded: Column, rules: Rules = DEFAULT_TAG_RULES, *, whole_words: bool = False) -> Column:
+    """``infer_tags`` for text that is already case-folded."""
     hits = [F.when(_rule_hit(folded, needles, whole_words), F.lit(tag)) for tag, needles in rules]
     fallback = F.array(F.lit("uncategorized"))
     if not hits:

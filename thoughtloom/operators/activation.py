@@ -113,7 +113,7 @@ def replay(initial: DataFrame, events: DataFrame, order: Sequence[str]) -> DataF
         .select("key", "step.*")
         .mapInPandas(_compose_slices, f"key {key_type}, piece int, a double, b double, lo double, hi double")
     )
-    chain = F.array_sort(F.collect_list(F.struct("piece", "a", "b", "lo", "hi")))
+    chain = F.sort_array(F.collect_list(F.struct("piece", "a", "b", "lo", "hi")))
     return (
         pieces.groupBy("key")
         .agg(chain.alias("chain"))

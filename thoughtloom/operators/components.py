@@ -17,7 +17,7 @@ from thoughtloom.session import materialise
 
 def groupable_tags(tags: Column, kind: Column) -> Column:
     """Sorted distinct tags without the placeholder; untagged atoms use their kind."""
-    real = F.array_sort(F.array_distinct(F.filter(tags, lambda tag: tag != UNTAGGED)))
+    real = F.sort_array(F.array_distinct(F.filter(tags, lambda tag: tag != UNTAGGED)))
     return F.when(F.size(real) > 0, real).otherwise(F.array(kind))
 
 

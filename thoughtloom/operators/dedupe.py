@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thoughtloom.functions import text as tx
@@ -86,58 +86,49 @@ def _first_rows(rows: DataFrame) -> DataFrame:
 
 def _distinct_sets(firsts: DataFrame) -> DataFrame:
     """First row of every distinct, non-empty token set."""
-    canonical = firsts.where(F.size("tokens") > 0).withColumn("tokens", F.array_sort("tokens"))
+    canonical = firsts.where(F.size("tokens") > 0).withColumn("tokens", F.sort_array("tokens"))
     return canonical.groupBy("scope", "tokens").agg(F.min("rid").alias("rid"))
 
 
-def _prefix_index(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(index, probe) entries of every set, rare tokens first.
+def _ranked_prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(rid, scope, n, pos, token): the rarest tokens of every comparable set.
 
-    A pair is found when the smaller set's index entry meets the larger set's
-    probe entry for the smaller one's size class.
+    The prefix kept is the longest one any comparable partner can ask for.
     """
-    num, den = _ratio(threshold)
     comparable = sets.where(F.size("tokens") >= _smallest_comparable(threshold))
-    entries = comparable.select("rid", "scope", F.explode("tokens").alias("token"))
+    entries = comparable.select("rid", "scope", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     frequency = entries.groupBy("token").agg(F.count("*").alias("df"))
-    longest = F.size("ranked") - F.ceil(F.size("ranked") * num / F.lit(float(den)) - F.lit(1e-9)).cast("int") + 1
-    ranked = (
+    rarest_first = Window.partitionBy("rid").orderBy("df", "token")
+    return (
         entries.join(frequency, "token")
-        .groupBy("rid", "scope")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
-        .select(
-            "rid",
-            "scope",
-            F.size("ranked").alias("n"),
-            F.slice(F.col("ranked.token"), F.lit(1), longest).alias("prefix"),
-        )
+        .withColumn("pos", F.row_number().over(rarest_first) - 1)
+        .where(F.col("pos") <= F.col("n") - _least_partner(F.col("n"), threshold))
+        .select("rid", "scope", "n", "pos", "token")
     )
+
+
+def _least_partner(size: Column, threshold: float) -> Column:
+    """Size of the smallest set that can be similar to one of ``size``."""
+    num, den = _ratio(threshold)
+    return F.ceil(size * num / F.lit(float(den)) - F.lit(1e-9)).cast("int")
+
+
+def _index_entries(ranked: DataFrame, threshold: float) -> DataFrame:
+    """One entry per token a set shows to partners that are at least as large."""
     size = F.col("n")
-    index_len = size - _required_overlap(size, size, threshold) + 1
-    index = (
-        ranked.withColumn("size_class", _size_class(size))
-        .select("rid", "scope", "n", "size_class", F.posexplode(F.slice("prefix", F.lit(1), index_len)).alias("pos", "token"))
-    )
-    smallest = F.ceil(size * num / F.lit(float(den)) - F.lit(1e-9)).cast("int")
-    probe = (
-        ranked.withColumn("size_class", F.explode(F.sequence(_size_class(smallest), _size_class(size))))
-        .withColumn(
-            "probe_len",
-            F.least(
-                F.size("prefix"),
-                size - _required_overlap(size, F.greatest(_class_floor(F.col("size_class")), smallest), threshold) + 1,
-            ),
-        )
-        .where(F.col("probe_len") > 0)
-        .select(
-            "rid",
-            "scope",
-            "n",
-            "size_class",
-            F.posexplode(F.slice("prefix", F.lit(1), F.col("probe_len"))).alias("pos", "token"),
-        )
+    return ranked.where(F.col("pos") <= size - _required_overlap(size, size, threshold)).withColumn(
+        "size_class", _size_class(size)
     )
-    return index, probe
+
+
+def _probe_entries(ranked: DataFrame, threshold: float) -> DataFrame:
+    """Entries that look for smaller or equal partners, per size class of theirs."""
+    size = F.col("n")
+    smallest = _least_partner(size, threshold)
+    partner = F.greatest(_class_floor(F.col("size_class")), smallest)
+    return ranked.withColumn(
+        "size_class", F.explode(F.sequence(_size_class(smallest), _size_class(size)))
+    ).where(F.col("pos") <= size - _required_overlap(size, partner, threshold))
 
 
 _BUCKET = ["scope", "token", "size_class"]
@@ -180,35 +171,41 @@ def _bucket_load(index: DataFrame, probe: DataFrame) -> DataFrame:
     return both.groupBy(*_BUCKET).agg(F.sum("i").alias("i"), F.sum("p").alias("p"), F.min("rid").alias("leader"))
 
 
-def _thin_crowded(
-    index: DataFrame, probe: DataFrame, sets: DataFrame, threshold: float
-) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Remove copies of certainly kept bucket leaders while buckets are crowded."""
+def _thin_crowded(ranked: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame | None]:
+    """Remove copies of certainly kept bucket leaders while buckets are crowded.
+
+    Returns the prefixes still to be compared and the rows dropped so far.
+    """
     dropped = None
     for _ in range(_MAX_THINNING_ROUNDS):
+        index, probe = _index_entries(ranked, threshold), _probe_entries(ranked, threshold)
         load = _bucket_load(index, probe)
         work, entries = load.agg(F.sum(F.col("i") * F.col("p")), F.sum(F.col("i") + F.col("p"))).first()
         if not entries or work <= _CROWDED * entries:
             break
         entries_of = index.select(*_BUCKET, "rid").unionByName(probe.select(*_BUCKET, "rid"))
-        leaders = (
+        leaders = materialise(
             entries_of.join(load.select(*_BUCKET, "leader"), _BUCKET)
             .groupBy("rid")
             .agg(F.min("leader").alias("leader"))
             .where(F.col("leader") == F.col("rid"))
             .select("rid")
         )
-        leaders = materialise(leaders)
-        lead_index = index.join(leaders, "rid", "left_semi")
-        lead_probe = probe.join(leaders, "rid", "left_semi")
-        pairs = _candidates(lead_index, probe, threshold).unionByName(_candidates(index, lead_probe, threshold)).distinct()
-        hits = _verify(pairs, sets, threshold)
-        gone = materialise(hits.select(F.col("later_rid").alias("rid")).distinct())
+        leading = ranked.join(leaders, "rid", "left_semi")
+        pairs = (
+            _candidates(_index_entries(leading, threshold), probe, threshold)
+            .unionByName(_candidates(index, _probe_entries(leading, threshold), threshold))
+            .distinct()
+        )
+        gone = materialise(_verify(pairs, sets, threshold).select(F.col("later_rid").alias("rid")).distinct())
         dropped = gone if dropped is None else dropped.unionByName(gone)
-        settled = leaders.unionByName(gone)
-        index = materialise(index.join(settled, "rid", "left_anti"))
-        probe = materialise(probe.join(settled, "rid", "left_anti"))
-    return index, probe, dropped
+        ranked = materialise(ranked.join(leaders.unionByName(gone), "rid", "left_anti"))
+    return ranked, dropped
+
+
+def _similar_pairs(ranked: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    found = _candidates(_index_entries(ranked, threshold), _probe_entries(ranked, threshold), threshold)
+    return _verify(found, sets, threshold)
 
 
 def _settle(pairs: DataFrame) -> DataFrame:
@@ -233,8 +230,10 @@ def _settle(pairs: DataFrame) -> DataFrame:
     return dropped
 
 
-def _prepared(df: DataFrame, text_col: str, order: str, scope: str | None) -> DataFrame:
-    normalized = df.select(
+def _prepared(df: DataFrame, text_col: str, order: str, scope: str | None, conservative: bool) -> DataFrame:
+    """Fingerprint and tokens of every row that can be kept."""
+    rows = df.where(~tx.is_disposable(F.col(text_col))) if conservative else df
+    normalized = rows.select(
         F.col(order).alias("rid"),
         (F.col(scope) if scope else F.lit("")).alias("scope"),
         tx.normalize_for_dedupe(F.col(text_col)).alias("normalized"),
@@ -251,9 +250,8 @@ def near_duplicate_pairs(
     df: DataFrame, text_col: str, order: str, threshold: float = DEFAULT_THRESHOLD, scope: str | None = None
 ) -> DataFrame:
     """Similar pairs (first_rid, later_rid) among the first rows of distinct token sets."""
-    sets = materialise(_distinct_sets(_first_rows(_prepared(df, text_col, order, scope))))
-    index, probe = _prefix_index(sets, threshold)
-    return _verify(_candidates(index, probe, threshold), sets, threshold)
+    sets = materialise(_distinct_sets(_first_rows(_prepared(df, text_col, order, scope, False))))
+    return _similar_pairs(materialise(_ranked_prefixes(sets, threshold)), sets, threshold)
 
 
 def near_duplicate_filter(
@@ -278,13 +276,11 @@ def near_duplicate_filter(
             "reason", F.when(F.col("keep"), F.lit("keep")).otherwise(F.lit("disposable-fragment"))
         ).drop("_disposable")
 
-    candidates = df.where(~disposable)
-    firsts = materialise(_first_rows(_prepared(candidates, text_col, order, scope)))
+    firsts = materialise(_first_rows(_prepared(df, text_col, order, scope, conservative)))
     sets = materialise(_distinct_sets(firsts))
-    index, probe = _prefix_index(sets, threshold)
-    index, probe = materialise(index), materialise(probe)
-    index, probe, thinned = _thin_crowded(index, probe, sets, threshold)
-    dropped = _settle(_verify(_candidates(index, probe, threshold), sets, threshold))
+    ranked = materialise(_ranked_prefixes(sets, threshold))
+    ranked, thinned = _thin_crowded(ranked, sets, threshold)
+    dropped = _settle(_similar_pairs(ranked, sets, threshold))
     if thinned is not None:
         dropped = dropped.unionByName(thinned)
     kept = (

@@ -24,7 +24,7 @@ _COUNT = "decimal(38,0)"
 
 
 def tag_set(tags: Column) -> Column:
-    return F.array_sort(F.array_distinct(tags))
+    return F.sort_array(F.array_distinct(tags))
 
 
 def _weight(shared: Column, left_size: Column, right_size: Column) -> Column:
@@ -79,7 +79,7 @@ def _narrow_counts(sets: DataFrame) -> DataFrame:
         .groupBy("shared", "n")
         .agg(F.sum("atoms").cast(_COUNT).alias("atoms"))
     )
-    by_size = containing.groupBy("shared").agg(F.array_sort(F.collect_list(F.struct("n", "atoms"))).alias("sizes"))
+    by_size = containing.groupBy("shared").agg(F.sort_array(F.collect_list(F.struct("n", "atoms"))).alias("sizes"))
     at_least = (
         by_size.withColumn("low", F.explode("sizes"))
         .withColumn("high", F.explode(F.filter("sizes", lambda s: s["n"] >= F.col("low.n"))))
@@ -114,7 +114,7 @@ def _wide_counts(wide: DataFrame, sets: DataFrame) -> DataFrame:
     once = (F.size("r") <= _SUBSET_LIMIT) | (F.col("l") <= F.col("r"))
     pairs = left.join(right, "tag").where(once).select("l", "r", "l_atoms", "r_atoms").distinct()
     return pairs.select(
-        F.array_sort(F.array_intersect("l", "r")).alias("shared"),
+        F.sort_array(F.array_intersect("l", "r")).alias("shared"),
         F.least(F.size("l"), F.size("r")).alias("low_size"),
         F.greatest(F.size("l"), F.size("r")).alias("high_size"),
         F.when(F.col("l") == F.col("r"), F.expr("cast(l_atoms * (l_atoms - 1) / 2 as decimal(38,0))"))
@@ -148,7 +148,7 @@ def shared_tag_edges(nodes: DataFrame, min_shared: int = 1) -> DataFrame:
         left.join(right, "tag")
         .where(F.col("from_id") < F.col("to_id"))
         .groupBy("from_id", "to_id", "left_tags", "right_tags")
-        .agg(F.array_sort(F.collect_set("tag")).alias("shared"))
+        .agg(F.sort_array(F.collect_set("tag")).alias("shared"))
         .where(_is_edge(F.col("shared"), min_shared))
     )
     return pairs.withColumns(

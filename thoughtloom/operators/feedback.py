@@ -44,7 +44,7 @@ def resolve_feedback(feedback: DataFrame, suggestions: DataFrame | None = None)
         ids = F.concat(own, F.coalesce(extra, F.coalesce("_cited", F.array().cast("array<string>"))))
     else:
         ids = own
-    ids = F.array_sort(F.array_distinct(ids))
+    ids = F.sort_array(F.array_distinct(ids))
     checked = F.when(F.size(ids) > 0, ids).otherwise(
         F.raise_error(F.lit("feedback requires at least one atom id or suggestion id")).cast("array<string>")
     )

@@ -52,12 +52,18 @@ def rules_atoms(
     body = F.col("text")
     if metadata is None:
         metadata = F.create_map(F.lit("source_file"), F.col("source_file"))
-    labelled = fragments.withColumns(
-        {
-            "summary": text.summarize(body),
-            "kind": text.classify_kind(body, kind_rules, whole_words=whole_words),
-            "tags": text.infer_tags(body, tag_rules, whole_words=whole_words),
-        }
+    # A column used by many rules stays a projection of its own, so the text is
+    # folded once per row rather than once per rule.
+    labelled = (
+        fragments.withColumn("_folded", text.casefold(body))
+        .withColumns(
+            {
+                "summary": text.summarize(body),
+                "kind": text.kind_of(F.col("_folded"), kind_rules, whole_words=whole_words),
+                "tags": text.tags_of(F.col("_folded"), tag_rules, whole_words=whole_words),
+            }
+        )
+        .drop("_folded")
     )
     scored = labelled.withColumn(
         "importance", scoring.score_importance(F.col("role"), body, F.col("kind"), F.col("tags"))

@@ -54,7 +54,7 @@ def _first_summaries(members: DataFrame, k: int, name: str) -> DataFrame:
         distinct.withColumn("rank", rank)
         .where(F.col("rank") <= k)
         .groupBy("component")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "point"))).alias("ranked"))
+        .agg(F.sort_array(F.collect_list(F.struct("rank", "point"))).alias("ranked"))
         .select("component", F.col("ranked.point").alias(name))
     )
 
@@ -101,7 +101,7 @@ def build_notes(
     inlined = (
         members.join(small, "component", "left_semi")
         .groupBy("component")
-        .agg(F.array_sort(F.collect_list(F.struct(_atom_order().alias("place"), "source"))).alias("ordered"))
+        .agg(F.sort_array(F.collect_list(F.struct(_atom_order().alias("place"), "source"))).alias("ordered"))
         .select(
             "component",
             F.col("ordered.place.id").alias("source_atom_ids"),
@@ -112,7 +112,7 @@ def build_notes(
         members.select("component", F.explode("tags").alias("tag"))
         .distinct()
         .groupBy("component")
-        .agg(F.array_sort(F.collect_list("tag")).alias("tags"))
+        .agg(F.sort_array(F.collect_list("tag")).alias("tags"))
     )
     title_prefix = F.coalesce(
         F.element_at(F.create_map(*[F.lit(x) for pair in NOTE_TITLES.items() for x in pair]), F.col("note_type")),

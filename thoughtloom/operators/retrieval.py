@@ -192,7 +192,7 @@ def retrieval_requests(atoms: DataFrame, questions: DataFrame, focus_atoms: Data
     cold = (
         latent_ranks.join(atoms, "id")
         .groupBy("question_id")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", F.col("id"), _atom_line(shown).alias("line")))).alias("rows"))
+        .agg(F.sort_array(F.collect_list(F.struct("rank", F.col("id"), _atom_line(shown).alias("line")))).alias("rows"))
         .select("question_id", F.col("rows.id").alias("latent_atom_ids"), F.col("rows.line").alias("lines"))
     )
     focus_lines = warm.select("lines").scalar()

@@ -18,7 +18,7 @@ def _known_ids(cited: Column, known: Column) -> Column:
     """Known ids that occur in the citation line as whole words, by position."""
     hits = F.filter(known, lambda i: F.rlike(cited, F.concat(F.lit(_BEFORE), i, F.lit(_AFTER))))
     placed = F.transform(F.array_distinct(hits), lambda i: F.struct(F.call_function("instr", cited, i).alias("at"), i.alias("id")))
-    return F.array_sort(placed)["id"]
+    return F.sort_array(placed)["id"]
 
 
 def _listed_ids(cited: Column) -> Column:

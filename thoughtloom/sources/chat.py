@@ -171,7 +171,7 @@ def _export_turns(documents: DataFrame) -> DataFrame:
     nodes = documents.select(
         "path", "name", F.posexplode(conversations).alias("major", "conversation")
     ).withColumn("entries", F.map_entries("conversation.mapping"))
-    places = F.array_sort(
+    places = F.sort_array(
         F.transform(
             "entries",
             lambda entry, i: F.struct(
