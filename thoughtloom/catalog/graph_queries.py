@@ -11,6 +11,7 @@ from thoughtloom.operators import notes as nt
 from thoughtloom.operators.feedback import RELATION
 from thoughtloom.operators.retrieval import focus
 from thoughtloom.operators.validation import combined_verdict, dangling_sources, validate_notes
+from thoughtloom.session import materialise
 from thoughtloom.sources.listings import manifest_diff
 
 _WEIGHT = "least(1e0, len(shared)::DOUBLE / sqrt(greatest(ln, 1)::DOUBLE * greatest(rn, 1)))"
@@ -87,8 +88,8 @@ ge AS (SELECT from_id, to_id, relation, 'shared_tags' AS type, weight, confidenc
 
 
 def _graph(spark, sf_dir):
-    atoms = conversation_atoms(spark, sf_dir)
-    nodes = eg.graph_nodes(atoms)
+    atoms = materialise(conversation_atoms(spark, sf_dir))
+    nodes = materialise(eg.graph_nodes(atoms))
     return nodes, eg.graph_edges(nodes, turn_bridges(atoms))
 
 

@@ -94,13 +94,20 @@ def _ranked_prefixes(sets: DataFrame, threshold: float) -> DataFrame:
     """(rid, scope, n, pos, token): the rarest tokens of every comparable set.
 
     The prefix kept is the longest one any comparable partner can ask for.
+    Tokens travel as 64-bit hashes: the filter works under any order of any
+    token multiset, so a collision can only add a candidate to verify.
     """
     comparable = sets.where(F.size("tokens") >= _smallest_comparable(threshold))
-    entries = comparable.select("rid", "scope", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    hashed = comparable.select(
+        "rid", "scope", F.size("tokens").alias("n"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes")
+    )
+    entries = hashed.select("rid", "scope", "n", F.explode("hashes").alias("token"))
     frequency = entries.groupBy("token").agg(F.count("*").alias("df"))
     rarest_first = Window.partitionBy("rid").orderBy("df", "token")
+    # Hash-joining spares the sort of every token occurrence: the frequency side
+    # has one 16-byte row per distinct token, spread over all partitions.
     return (
-        entries.join(frequency, "token")
+        entries.join(frequency.hint("shuffle_hash"), "token")
         .withColumn("pos", F.row_number().over(rarest_first) - 1)
         .where(F.col("pos") <= F.col("n") - _least_partner(F.col("n"), threshold))
         .select("rid", "scope", "n", "pos", "token")

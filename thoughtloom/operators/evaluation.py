@@ -110,6 +110,11 @@ def agreement(left: Column, right: Column) -> Column:
 
 def score_eval(sheet: DataFrame) -> DataFrame:
     """One row of review metrics from a single aggregation pass."""
+    return sheet.agg(*score_columns(sheet))
+
+
+def score_columns(sheet: DataFrame) -> list[Column]:
+    """The aggregates of ``score_eval``, to be combined with others in one pass."""
 
     def flag(name: str) -> Column:
         return _human(sheet, name, "boolean")
@@ -136,7 +141,7 @@ def score_eval(sheet: DataFrame) -> DataFrame:
     route_h = strip(F.coalesce(_human(sheet, "route", "string"), F.lit("")))
     route_p = strip(F.coalesce(F.col("prediction.route"), F.lit("")))
     quality = [F.coalesce(F.avg(F.when(scored, q.cast("double"))), F.lit(0.0)) for q in (summary_q, structure_q)]
-    return sheet.agg(
+    return [
         F.count("*").alias("total_cases"),
         F.count_if(scored).alias("scored_cases"),
         _rate(passed, scored).alias("pass_rate"),
@@ -148,4 +153,4 @@ def score_eval(sheet: DataFrame) -> DataFrame:
         _rate(handoff, scored & handoff.isNotNull()).alias("handoff_sufficient_rate"),
         quality[0].alias("avg_summary_quality"),
         quality[1].alias("avg_structure_quality"),
-    )
+    ]

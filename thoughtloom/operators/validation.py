@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from thoughtloom.functions import text
 from thoughtloom.functions.rounding import round_half_even
 from thoughtloom.functions.rules import NEGATIVE_FEEDBACK, POSITIVE_FEEDBACK
-from thoughtloom.operators.evaluation import score_eval
+from thoughtloom.operators.evaluation import score_columns
 
 # Verdict thresholds.
 MIN_SCORED = 30
@@ -46,25 +46,24 @@ def validate_scout(sheet: DataFrame) -> DataFrame:
     human, predicted = _strict(sheet, "human"), _strict(sheet, "prediction")
     no = F.lit(False)
     counted = sheet.agg(
+        *score_columns(sheet),
         F.count_if(F.array_contains("prediction.tags", "extractor-error")).alias("parse_error_count"),
         F.count_if(F.coalesce(predicted, no) & text.is_disposable(F.col("text"))).alias("tool_noise_retained_count"),
         F.count_if(F.coalesce(human, no) & ~F.coalesce(predicted, F.lit(True))).alias("false_negative_count"),
         F.count_if(~F.coalesce(human, F.lit(True)) & F.coalesce(predicted, no)).alias("false_positive_count"),
     )
     surplus = duplicate_surplus(sheet, text.fingerprint(F.col("text")))
-    score = score_eval(sheet)
-    one = score.select(F.struct("*")).scalar()
-    total, scored = F.col("score.total_cases"), F.col("score.scored_cases")
+    total, scored = F.col("total_cases"), F.col("scored_cases")
     metrics = (
-        counted.withColumns({"score": one, "duplicate_count": surplus.select("surplus").scalar()})
+        counted.withColumn("duplicate_count", surplus.select("surplus").scalar())
         .select(
-            total.alias("total_cases"),
-            scored.alias("scored_cases"),
+            "total_cases",
+            "scored_cases",
             F.lit(MIN_SCORED).alias("minimum_scored_cases"),
-            F.col("score.pass_rate").alias("pass_rate"),
-            F.col("score.keep_agreement").alias("keep_agreement"),
-            F.col("score.route_agreement").alias("route_agreement"),
-            F.col("score.handoff_sufficient_rate").alias("handoff_sufficient_rate"),
+            "pass_rate",
+            "keep_agreement",
+            "route_agreement",
+            "handoff_sufficient_rate",
             "parse_error_count",
             _ratio(F.col("parse_error_count"), total).alias("parse_error_rate"),
             "duplicate_count",
