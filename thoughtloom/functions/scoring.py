@@ -26,7 +26,8 @@ def score_importance(role: Column, text: Column, kind: Column, tags: Column) ->
         + F.least(F.lit(0.15), F.size(tags) * F.lit(0.03))
         + F.when(F.length(text) > 120, F.lit(0.08)).otherwise(F.lit(0.0))
     )
-    return round_half_even(clamp(score, 0.05, 0.95), 3)
+    # A sum of two-decimal constants is never near a tie of the third decimal.
+    return F.floor(clamp(score, 0.05, 0.95) * F.lit(1000.0) + F.lit(0.5)) / F.lit(1000.0)
 
 
 def initial_activation(importance: Column, factor: float = 0.65, floor: float = 0.1) -> Column:

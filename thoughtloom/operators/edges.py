@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from thoughtloom.functions import scoring
 from thoughtloom.functions.rounding import round_half_even
+from thoughtloom.session import materialise
 
 UNTAGGED = "uncategorized"
 # Tag sets up to this size are counted through their subsets; larger ones
@@ -50,7 +51,6 @@ def tag_set_sizes(atoms: DataFrame) -> DataFrame:
     """Distinct tag sets with their number of atoms (map-side combined)."""
     return (
         atoms.select(tag_set(F.col("tags")).alias("tag_set"))
-        .where(F.size("tag_set") > 0)
         .groupBy("tag_set")
         .agg(F.count("*").cast(_COUNT).alias("atoms"))
     )
@@ -59,12 +59,13 @@ def tag_set_sizes(atoms: DataFrame) -> DataFrame:
 def _subsets(tags: Column) -> Column:
     """All non-empty subsets of a short sorted array, each sorted."""
     masks = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size(tags)) - 1)
-    return F.transform(
+    subsets = F.transform(
         masks,
         lambda mask: F.filter(
             tags, lambda _, i: F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1)) == 1
         ),
     )
+    return F.when(F.size(tags) > 0, subsets)
 
 
 def _narrow_counts(sets: DataFrame) -> DataFrame:
@@ -125,7 +126,7 @@ def _wide_counts(wide: DataFrame, sets: DataFrame) -> DataFrame:
 
 def edge_counts(atoms: DataFrame, min_shared: int = 1) -> DataFrame:
     """Every kind of shared-tag edge with its exact number of edges."""
-    sets = tag_set_sizes(atoms)
+    sets = materialise(tag_set_sizes(atoms))
     narrow = sets.where(F.size("tag_set") <= _SUBSET_LIMIT)
     wide = sets.where(F.size("tag_set") > _SUBSET_LIMIT)
     counted = _narrow_counts(narrow).unionByName(_wide_counts(wide, sets))

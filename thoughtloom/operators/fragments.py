@@ -33,11 +33,11 @@ def clean_fragments(
     contains: Iterable[str] = (),
 ) -> DataFrame:
     """Cleaned, noise-free fragments with their deterministic id (narrow)."""
-    cleaned = turns.withColumn("text", text.clean_text(F.col("text")))
-    kept = cleaned.where(
-        text.fragment_predicate(F.col("text"), min_chars=min_chars, max_chars=max_chars, contains=contains)
+    kept = turns.where(
+        text.fragment_filter(F.col("text"), min_chars=min_chars, max_chars=max_chars, contains=contains)
     )
-    return kept.withColumn("id", text.short_id(F.col("source"), F.col("text")))
+    cleaned = kept.withColumn("text", text.clean_text(F.col("text")))
+    return cleaned.withColumn("id", text.short_id(F.col("source"), F.col("text")))
 
 
 def rules_atoms(
