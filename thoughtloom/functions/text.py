@@ -238,16 +238,17 @@ def tags_of(folded: Column, rules: Rules = DEFAULT_TAG_RULES, *, whole_words: bo
     return F.when(F.size(tags) > 0, tags).otherwise(fallback)
 
 
-_HEAD = r"\A" + _SPACE + f"*((?:[^\\n。！？!?]*[^\\n。！？!?{_WS}])?)"
-
-
 def summarize(text: Column, limit: int = 96) -> Column:
     """First sentence, stripped; a longer one is cut below ``limit`` and marked.
 
-    Two anchored patterns, so the work stops at the end of the sentence.
+    The first pattern reads at most one visible character past the limit, so
+    the cost does not grow with the text.
     """
+    stop = "\\n。！？!?"
+    blank = f"[{_WS}&&[^\\n]]"
+    head = f"\\A{_SPACE}*[^{stop}]{{0,{limit}}}(?:{blank}*[^{stop}{_WS}])?"
     cut = f"(?s)\\A(?=.{{{limit + 1}}})(.{{0,{limit - 2}}}[^{_WS}]).*\\z"
-    return F.regexp_replace(F.regexp_extract(text, _HEAD, 1), cut, "$1...")
+    return F.regexp_replace(strip(F.regexp_extract(text, head, 0)), cut, "$1...")
 
 
 def short_id(*parts: Column) -> Column:
