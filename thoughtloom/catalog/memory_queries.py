@@ -12,7 +12,6 @@ from thoughtloom.catalog.common import (
     conversation_atoms,
     conversation_columns,
     conversation_fragments,
-    document_atoms,
     document_turns,
     query,
     sql_fold,
@@ -107,7 +106,6 @@ _BOOSTS = """boosts AS (SELECT id, max(b) AS boost FROM (
   SELECT to_id AS id, least(1e0, weight) * 1.2e0 AS b FROM bridges WHERE from_id IN (SELECT id FROM foc)
   UNION ALL SELECT from_id, least(1e0, weight) * 1.2e0 FROM bridges WHERE to_id IN (SELECT id FROM foc))
   WHERE id NOT IN (SELECT id FROM foc) GROUP BY id)"""
-_NOVEL = "(1e0 - least(1e0, a.activation))"
 _LATENT = f"""{_FOCUS}, {SQL_BRIDGES}, {_BOOSTS},
 q AS (SELECT item_id AS question_id, text AS question, {sql_fold('text')} AS qf, {sql_words('text')} AS qw FROM benchmark),
 pool AS (SELECT a.*, coalesce(boost, 0e0) AS boost, {sql_words("summary || ' ' || text")} AS aw FROM conv_atoms a LEFT JOIN boosts USING (id)
@@ -324,7 +322,7 @@ def rating_statuses(spark, sf_dir):
     ratings = last.where(F.col("seq") % 3 != 2).select(
         "run_id", "suggestion_id", F.when(F.col("seq") % 3 == 0, F.lit("up")).otherwise(F.lit("down")).alias("rating")
     )
-    return fb.rating_statuses(last, ratings, {"up": "useful", "down": "wrong"})
+    return fb.rating_statuses(last, ratings)
 
 
 @query(

@@ -9,7 +9,9 @@ from thoughtloom.functions.rounding import round_half_even
 from thoughtloom.functions.rules import FEEDBACK_STATUSES, POSITIVE_FEEDBACK
 from thoughtloom.functions.text import casefold, strip
 
+# Edge relation, and the status each rating stands for.
 RELATION = "inspire_feedback"
+RATINGS = {"up": "useful", "down": "wrong"}
 
 
 def feedback_amount(status: Column, amount: Column | None = None) -> Column:
@@ -139,7 +141,7 @@ def merge_feedback_edges(edges: DataFrame, pairs: DataFrame, order: str) -> Data
     )
 
 
-def rating_statuses(suggestions: DataFrame, ratings: DataFrame, rating_map: dict[str, str]) -> DataFrame:
+def rating_statuses(suggestions: DataFrame, ratings: DataFrame, rating_map: dict[str, str] = RATINGS) -> DataFrame:
     """Status of every suggestion of a run: unrated -> ignored, unknown rating -> error."""
     joined = suggestions.join(ratings, ["run_id", "suggestion_id"], "left")
     rating = F.coalesce("rating", F.lit(""))
