@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -230,7 +231,7 @@ def split_ids(ids: np.ndarray, separator: int, groups: np.ndarray) -> list[bytes
 def slices(batch: pa.RecordBatch, text_column: int, most_bytes: int = 2_000_000):
     """Parts of a batch whose texts have at most so many bytes (one row at least)."""
     column = batch.column(text_column)
-    sizes = [x or 0 for x in pa.compute.binary_length(column).to_pylist()]
+    sizes = [x or 0 for x in pc.binary_length(column).to_pylist()]
     start = held = 0
     for i, size in enumerate(sizes):
         if i > start and held + size > most_bytes:
