@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thoughtloom.llm import byte_bpe, packing
+from thoughtloom.llm import byte_bpe, host_rules, packing, simhash, url_filter
 from thoughtloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,35 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query
+def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", *host_rules.FEATURES, "base_failed", "kept"
+    )
+
+
+#: Fixed values of the query: action, host, start of the path.
+LISTED = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+@_query
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    labelled = pages.select("page_id", "url").join(labels, F.col("page_id") == F.col("doc_id"))
+    blocked = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    rules = url_filter.mine(labelled.select("url", blocked.alias("blocked")))
+    return url_filter.judge(pages, LISTED, rules).drop("confidence")
+
+
+@_query
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
