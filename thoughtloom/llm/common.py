@@ -183,16 +183,13 @@ CHUNK = re.compile(r" ?[^\t-\r ]+|[\t-\r ]+(?=[\t-\r ][^\t-\r ])|[\t-\r ]+")
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 
 
-_SIMPLE = re.compile(r" ?[^\t-\r ]+").fullmatch
-
-
 class ChunkIds(dict):
     """Token ids of chunks as packed little-endian unsigned 32-bit integers.
 
     A token never crosses from other characters to white space, so a text is the
     concatenation of its chunks and most of them are met again; a bounded number of
-    short ones is remembered. ``encode_lines`` gets chunks without line ends that
-    start with one space at most; ``encode_one`` any text. ``whole`` tells texts
+    short ones is remembered. ``encode_lines`` gets words, each with one space before
+    it at most; ``encode_one`` any text. ``whole`` tells texts
     that must not be cut.
     """
 
@@ -202,17 +199,18 @@ class ChunkIds(dict):
         self.whole = whole or (lambda text: False)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [[t] if ODD_SPACE.search(t) or self.whole(t) else CHUNK.findall(t) for t in texts]
+        uncut = [bool(ODD_SPACE.search(t)) or self.whole(t) for t in texts]
+        cut = [[] if u else CHUNK.findall(t) for u, t in zip(uncut, texts, strict=True)]
         if len(self) > self.limit:
             self.clear()
         wanted = [c for c in set().union(*cut) if c not in self]
-        simple = [c for c in wanted if _SIMPLE(c) and not ODD_SPACE.search(c) and not self.whole(c)]
-        self.update(zip(simple, self.encode_lines(simple) if simple else (), strict=True))
-        for c in wanted:
-            if c not in self:
-                self[c] = self.encode_one(c)
+        words = [c for c in wanted if c[-1] > " "]
+        self.update(zip(words, self.encode_lines(words) if words else (), strict=True))
+        self.update((c, self.encode_one(c)) for c in wanted if c[-1] <= " ")
         get = self.__getitem__
-        out = [b"".join(map(get, chunks)) for chunks in cut]
+        out = [
+            self.encode_one(t) if u else b"".join(map(get, chunks)) for u, t, chunks in zip(uncut, texts, cut, strict=True)
+        ]
         for chunk in wanted:
             if len(chunk) > 64:
                 del self[chunk]

@@ -23,11 +23,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from thoughtloom.llm.byte_bpe import byte_characters
 from thoughtloom.llm.common import ChunkIds, slices, split_ids
 from thoughtloom.session import materialise
 
@@ -91,30 +93,39 @@ def slots(combinations: list[tuple[int, list[int]]]) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def encoder_of(path: str) -> ChunkIds:
-    """Ids by the tokenizer file; one for all tasks of a worker process.
+def encoder_of(path: str, pattern: str) -> ChunkIds:
+    """Ids as the tokenizer file gives them; one encoder for all tasks of a worker process.
 
-    The strings of its special tokens are taken as these tokens, as the library does.
+    Ids of a byte-level BPE file are the ranks of its merges, which ``tiktoken`` takes
+    as they are and merges several times as fast. Texts that hold the string of a
+    special token go to the tokenizer itself, which takes it as that token.
     """
     tokenizer = Tokenizer.from_file(path)
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    separator = tokenizer.encode("\n", add_special_tokens=False).ids[0]
+    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    byte_of = {c: b for b, c in enumerate(byte_characters())}
+    ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in tokenizer.get_vocab().items() if t not in special}
+    encoding = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    separator = ranks[b"\n"]
+
+    def whole(text):
+        return any(s in text for s in special)
 
     def lines(chunks):
-        ids = np.array(tokenizer.encode("\n".join(chunks), add_special_tokens=False).ids, np.int64)
+        ids = np.array(encoding.encode_ordinary("\n".join(chunks)), np.int64)
         return split_ids(ids, separator, np.ones(len(chunks), np.int64))
 
     def one(text):
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = tokenizer.encode(text, add_special_tokens=False).ids if whole(text) else encoding.encode_ordinary(text)
+        return np.array(ids, "<u4").tobytes()
 
-    return ChunkIds(lines, one, lambda text: any(s in text for s in special))
+    return ChunkIds(lines, one, whole, 1_000_000)
 
 
-def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
+def pieces(docs: DataFrame, path: str, pattern: str, capacity: int, end_id: int) -> DataFrame:
     """Pieces of all documents; ``task`` and ``turn`` number the pieces of a length within a task."""
 
     def run(batches):
-        encoder = encoder_of(path)
+        encoder = encoder_of(path, pattern)
         part, turns, end = TaskContext.get().partitionId(), Counter(), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out = []
@@ -136,9 +147,9 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECE)
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Place of every piece of the documents in sequences of at most ``capacity`` tokens."""
-    held = materialise(pieces(docs, path, capacity, end_id))
+    held = materialise(pieces(docs, path, pattern, capacity, end_id))
     counts = held.groupBy("length", "task").count()
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     counts = materialise(counts.withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0))))
