@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thoughtloom.llm import byte_bpe, host_rules, kneser_ney, packing, secret_scan, simhash, substring_dedup, top_k, url_filter
+from thoughtloom.llm import byte_bpe, host_rules, kneser_ney, line_dedup, packing, secret_scan, simhash, substring_dedup, top_k, url_filter
 from thoughtloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,9 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = secret_scan.scan(docs, secret_scan.forest_for(docs))
     return found.select("doc_id", "start", "length", F.sha2("text", 256).alias("text_sha256"), "score", "secret")
+
+
+@_query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.remove_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "lines.n_lines", "lines.n_removed", F.sha2("text", 256).alias("kept_sha256"))

@@ -282,6 +282,19 @@ def _write_totals(folder: str):
     return run
 
 
+KEYED = "shard long, keys binary, counts binary"
+
+
+def count_words(rows: DataFrame, folder: str, bits: int) -> tuple[tuple[int, ...], int]:
+    """Write hashes and counts of all words of the second column; first numbers of the shards, tokens."""
+    counted = rows.mapInArrow(_count_words(bits), KEYED).groupBy("shard")
+    sizes = {r["shard"]: r for r in counted.applyInArrow(_write_words(folder), "shard long, words long, tokens long").collect()}
+    first = [0]
+    for shard in range(1 << bits):
+        first.append(first[-1] + (sizes[shard]["words"] if shard in sizes else 0))
+    return tuple(first), sum(r["tokens"] for r in sizes.values())
+
+
 def train(docs: DataFrame, bytes_per_shard: int = 32_000_000) -> Model:
     """The model of all texts of ``docs``; its arrays are in a new shared folder."""
     spark = docs.sparkSession
@@ -290,16 +303,10 @@ def train(docs: DataFrame, bytes_per_shard: int = 32_000_000) -> Model:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     word_bits = power_of_two(size / bytes_per_shard, 2)
     grid_bits = -(-word_bits // 2)
-    keyed = "shard long, keys binary, counts binary"
-    counted = rows.mapInArrow(_count_words(word_bits), keyed).groupBy("shard")
-    sizes = {r["shard"]: r for r in counted.applyInArrow(_write_words(folder), "shard long, words long, tokens long").collect()}
-    first = [0]
-    for shard in range(1 << word_bits):
-        first.append(first[-1] + (sizes[shard]["words"] if shard in sizes else 0))
+    first, tokens = count_words(rows, folder, word_bits)
     if first[-1] >= 1 << 32:
         raise ValueError("more than 2**32 different words")
-    first = tuple(first)
-    paired = rows.mapInArrow(_count_pairs(folder, word_bits, first, grid_bits), keyed).groupBy("shard")
+    paired = rows.mapInArrow(_count_pairs(folder, word_bits, first, grid_bits), KEYED).groupBy("shard")
     stats = materialise(paired.applyInArrow(_write_pairs(folder), STATS))
     totals = np.zeros(5, np.uint64)
     for row in stats.where("kind = 2").select("total").toLocalIterator():
@@ -310,7 +317,6 @@ def train(docs: DataFrame, bytes_per_shard: int = 32_000_000) -> Model:
     of = written.agg(*[F.coalesce(F.sum(f"c{k}"), F.lit(0)) for k in (1, 2, 3, 4)]).first()
     words, pairs, own = first[-1], int(totals[4]), discounts(np.array(of))
     spare = (own[0] * of[0] + own[1] * of[1] + own[2] * (words - of[0] - of[1])) / pairs if pairs else 1.0
-    tokens = sum(r["tokens"] for r in sizes.values())
     return Model(folder, word_bits, first, grid_bits, tokens, pairs, discounts(totals[:4]), own, spare)
 
 
