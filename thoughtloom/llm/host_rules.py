@@ -140,3 +140,18 @@ def judge(docs: DataFrame, id_column: str = "doc_id", host_column: str = "source
     joined = judged.join(bad, "host", "left")
     kept = ~(F.col("base_failed") | F.col("own_failed") | F.coalesce(F.col("host_failed"), F.lit(False)))
     return joined.select("doc_id", "host", *FEATURES, "base_failed", "own_failed", kept.alias("kept"))
+
+
+def keep(docs: DataFrame, host_column: str = "source", host_limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that the rules and their host's verdict let pass, with their columns.
+
+    The rows are written to the shared folder with their counts, so that texts are
+    counted once; rejected hosts are joined to them.
+    """
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(own, F.col(host_column).cast("string").alias("host"), F.col("text"))
+    counted = materialise(features(rows, ["row", "host"]))
+    failed = base_failed() | own_failed()
+    bad = rejected_hosts(counted.select("host", failed.alias("failed")), host_limit)
+    passed = counted.where(~failed).join(bad.select("host"), "host", "left_anti")
+    return passed.select(*[F.col("row")[c].alias(c) for c in docs.columns])
