@@ -33,6 +33,11 @@ def corpus(n=60, seed=5):
         (3008, "ab " * 3000), (3009, "a" * 20_000), (3010, f"{secret} {secret}"), (None, out[0][1]), (None, None),
         (3011, "<|endoftext|> a|b # c"), (3011, "<|endoftext|> a|b # c"), (3012, "the same\nthe same\nThe Same"),
     ]
+    for k in range(6):  # long near copies, larger id first for some
+        long = [r.choice(words) for _ in range(1500)]
+        out.append((4000 + 10 * k, " ".join(long)))
+        long[700 + k] = "altered"
+        out.append((4001 + 10 * k if k % 2 else 3999 - k, " ".join(long)))
     return out
 
 

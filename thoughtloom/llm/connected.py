@@ -25,7 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
         discard(current)
         current = small
         if now == before:
-            return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            roots = current.select(F.col("b").alias("a"), "b").distinct()
+            return current.select("a", "b").union(roots).toDF("node", "root")
         before = now
 
 
