@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from thoughtloom.functions.rules import FEEDBACK_STATUSES
@@ -195,3 +196,24 @@ def test_combined_verdict(spark):
     assert combine("pass", "needs_data", "fail") == "fail"
     assert combine("pass", "needs_data") == "needs_data"
     assert combine("pass", "pass") == "pass"
+
+
+def test_feedback_reaches_the_graph_and_unknown_ids_fail(spark, tmp_path):
+    memory = jobs.ingest(empty_memory(spark), chat_turns(spark, tmp_path / "in"), now())
+    ids = [r["id"] for r in memory.atoms.orderBy("id").limit(2).collect()]
+    schema = "feedback_id int, run_id string, status string, atom_ids array<string>, note string"
+    give = lambda k, atoms: spark.createDataFrame([(k, "r1", "useful", atoms, f"n{k}")], schema)
+    runs = spark.createDataFrame([("r1", "q")], "id string, question string")
+    once, resolved = jobs.apply_feedback(memory, give(1, ids), runs=runs)
+    _, edges, _ = jobs.export_graph(once)
+    assert [r["status"] for r in edges.where("relation = 'inspire_feedback'").collect()] == ["useful"]
+    twice, _ = jobs.apply_feedback(once, give(2, ids), runs=runs)
+    edge = twice.feedback_edges.first()
+    assert edge["evidence"]["note"] == "n2" and edge["evidence"]["atom_ids"] == sorted(ids)
+    kept, _ = jobs.apply_feedback(twice, give(3, ids[:1]), runs=runs)
+    assert kept.feedback_edges.first()["evidence"]["note"] == "n2"
+    for rows, known in ((give(4, ["ghost"]), runs), (give(5, ids), runs.where("false"))):
+        with pytest.raises(ValueError, match="unknown"):
+            jobs.apply_feedback(memory, rows, runs=known)
+    appended, events = jobs.run_rows(runs, now())
+    assert appended.count() == events.count() == 1 and jobs.feedback_events(resolved, now()).count() == 1

@@ -234,3 +234,20 @@ def test_clean_fragments_ids(spark):
     df = spark.createDataFrame([("f", "src", "user", " some  clean text "), ("f", "s2", "user", "short")], "source_file string, source string, role string, text string")
     row = clean_fragments(df).collect()
     assert [r["id"] for r in row] == [hashlib.sha1(b"src\nsome clean text").hexdigest()[:16]]
+
+
+def test_falsy_values_by_their_type(spark, tmp_path):
+    """Text like "0" or "false" is a value; zero, false and empty text are not; true is the first second."""
+    rows = [
+        {"role": "false", "content": "a", "timestamp": "0", "create_time": 5},
+        {"role": False, "author": "ann", "content": "b", "timestamp": 0, "create_time": 5},
+        {"role": 0, "author": "bob", "content": "c", "timestamp": True},
+        {"role": "", "author": "", "content": "d", "timestamp": False, "create_time": 0.0},
+    ]
+    path = write(tmp_path / "chat" / "a.jsonl", "\n".join(map(json.dumps, rows)))
+    assert [t[1:] for t in turns(chat.read_chat(spark, lines=[path]))] == [
+        ("false", "a", "0"),
+        ("ann", "b", "1970-01-01T00:00:05+00:00"),
+        ("bob", "c", "1970-01-01T00:00:01+00:00"),
+        ("unknown", "d", "1970-01-01T00:00:00+00:00"),
+    ]

@@ -109,18 +109,20 @@ def graph_stats(spark, sf_dir):
     return eg.graph_stats(*_graph(spark, sf_dir))
 
 
-# K4: an edge table with stale shared edges and the bridges; the stale ones go.
+# K4 on the whole table, edges kept factored: stale kinds of shared edges go, bridges stay.
 @query(
     "edges_replaced",
-    f"""WITH {CONV_CTES}, {_GRAPH_EDGES}
-SELECT from_id, to_id, relation, weight FROM e
-UNION ALL SELECT from_id, to_id, 'inspire_feedback', weight FROM bridges""",
+    f"""WITH {CONV_CTES}, {SQL_BRIDGES}, {_pairs('conv_atoms')}
+SELECT relation, weight, confidence, count(*)::DECIMAL(38,0) AS edges FROM e GROUP BY 1, 2, 3
+UNION ALL SELECT 'inspire_feedback', weight, 0.9e0, count(*)::DECIMAL(38,0) FROM bridges GROUP BY 2""",
 )
 def edges_replaced(spark, sf_dir):
-    atoms = conversation_atoms(spark, sf_dir)
-    stored = turn_bridges(atoms).select("from_id", "to_id", "relation", "weight")
+    atoms = materialise(conversation_atoms(spark, sf_dir))
+    kinds = ("relation", "weight", "confidence")
+    total = F.sum("edges").cast("decimal(38,0)").alias("edges")
+    stored = turn_bridges(atoms).withColumn("edges", F.lit(1)).groupBy(*kinds).agg(total)
     stale = stored.withColumn("relation", F.lit("shared_tags:old"))
-    fresh = eg.shared_tag_edges(eg.graph_nodes(atoms)).select("from_id", "to_id", "relation", "weight")
+    fresh = eg.edge_counts(atoms).groupBy(*kinds).agg(total)
     return eg.replace_shared_edges(stored.unionByName(stale), fresh)
 
 

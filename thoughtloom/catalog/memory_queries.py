@@ -247,7 +247,7 @@ def feedback_edges(spark, sf_dir):
         .distinct()
         .select("from_id", "to_id", F.lit(fb.RELATION).alias("relation"), F.lit(0.1).alias("weight"), F.lit(0.3).alias("confidence"))
     )
-    return fb.merge_feedback_edges(stored, pairs, "feedback_id").drop("last")
+    return fb.merge_feedback_edges(stored, pairs, "feedback_id").drop("last_used", "evidence")
 
 
 @query(

@@ -50,7 +50,7 @@ _STAMP = "strftime(to_timestamp(conv_id * 1000 + turn) AT TIME ZONE 'UTC', '%Y-%
 _SCANNED = f"""SELECT CASE WHEN turn = 5 THEN 'unknown' ELSE role END AS role,
   CASE turn WHEN 1 THEN text || chr(10) || 'tail' ELSE text END AS text,
   CASE turn WHEN 2 THEN (conv_id * 1000 + turn)::VARCHAR WHEN 4 THEN {_STAMP} || '.500000+00:00'
-    WHEN 5 THEN NULL WHEN 6 THEN NULL ELSE {_STAMP} || '+00:00' END AS timestamp
+    WHEN 5 THEN '1970-01-01T00:00:01+00:00' WHEN 6 THEN NULL ELSE {_STAMP} || '+00:00' END AS timestamp
 FROM conversations WHERE turn <> 7"""
 
 

@@ -34,7 +34,6 @@ _EXACT_SIZES = 50
 _CLASS_STEP = 1.02
 # Candidate work per index entry above which crowded buckets are thinned first.
 _CROWDED = 64
-_MAX_THINNING_ROUNDS = 50
 
 
 def _ratio(threshold: float) -> tuple[int, int]:
@@ -184,7 +183,8 @@ def _thin_crowded(ranked: DataFrame, sets: DataFrame, threshold: float) -> tuple
     Returns the prefixes still to be compared and the rows dropped so far.
     """
     dropped = None
-    for _ in range(_MAX_THINNING_ROUNDS):
+    # Every round settles at least the leader of each crowded bucket, so this ends.
+    while True:
         index, probe = _index_entries(ranked, threshold), _probe_entries(ranked, threshold)
         load = _bucket_load(index, probe)
         work, entries = load.agg(F.sum(F.col("i") * F.col("p")), F.sum(F.col("i") + F.col("p"))).first()

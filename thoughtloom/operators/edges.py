@@ -187,6 +187,11 @@ def graph_nodes(atoms: DataFrame, limit: int = 160) -> DataFrame:
     )
 
 
+def _status() -> Column:
+    """Status in an edge's evidence; empty without evidence."""
+    return F.coalesce(F.col("evidence.status"), F.lit("")).alias("status")
+
+
 def graph_edges(nodes: DataFrame, other_edges: DataFrame | None = None, min_shared: int = 1) -> DataFrame:
     """Edges with both ends among the graph nodes."""
     listed = shared_tag_edges(nodes, min_shared)
@@ -198,14 +203,14 @@ def graph_edges(nodes: DataFrame, other_edges: DataFrame | None = None, min_shar
             .join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
         )
         listed = listed.select(
-            "from_id", "to_id", "relation", "weight", "confidence", F.col("evidence.status").alias("status")
+            "from_id", "to_id", "relation", "weight", "confidence", _status()
         ).unionByName(
             inside.select(
-                "from_id", "to_id", "relation", "weight", "confidence", F.col("evidence.status").alias("status")
+                "from_id", "to_id", "relation", "weight", "confidence", _status()
             )
         )
     else:
-        listed = listed.withColumn("status", F.col("evidence.status"))
+        listed = listed.withColumn("status", _status())
     return listed.withColumn("type", scoring.edge_type(F.col("relation")))
 
 

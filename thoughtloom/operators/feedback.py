@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from thoughtloom.functions.rounding import round_half_even
 from thoughtloom.functions.rules import FEEDBACK_STATUSES, POSITIVE_FEEDBACK
 from thoughtloom.functions.text import casefold, strip
+from thoughtloom.schemas import EVIDENCE
 
 # Edge relation, and the status each rating stands for.
 RELATION = "inspire_feedback"
@@ -37,6 +38,8 @@ def resolve_feedback(feedback: DataFrame, suggestions: DataFrame | None = None)
     any id is an error, as is an unknown suggestion.
     """
     rows = feedback.withColumn("status", normalise_status(F.col("status")))
+    if "suggestion_id" in feedback.columns:
+        rows = rows.withColumn("suggestion_id", strip(F.col("suggestion_id")))
     own = F.coalesce("atom_ids", F.array().cast("array<string>"))
     if suggestions is not None:
         cited = suggestions.select("run_id", "suggestion_id", F.col("cited_atom_ids").alias("_cited"))
@@ -101,7 +104,7 @@ def feedback_edge_deltas(pairs: DataFrame, order: str) -> DataFrame:
     """One row per bridge: summed weight, first and summed confidence, last evidence."""
     gain = F.least(F.lit(1.0), F.col("amount"))
     confidence = round_half_even(F.least(F.lit(0.95), F.lit(0.55) + F.col("amount")), 3)
-    carried = [c for c in ("run_id", "feedback_id", "status", "note", "suggestion_id") if c in pairs.columns]
+    carried = [c for c in ("run_id", "feedback_id", "status", "atom_ids", "note", "suggestion_id", "created_at") if c in pairs.columns]
     return (
         pairs.withColumns({"_gain": gain, "_confidence": confidence})
         .groupBy("from_id", "to_id")
@@ -115,11 +118,33 @@ def feedback_edge_deltas(pairs: DataFrame, order: str) -> DataFrame:
     )
 
 
+def _whole_evidence(edges: DataFrame) -> Column:
+    """Stored evidence with all its fields, those it lacks as nulls; null without any."""
+    if "evidence" not in edges.columns:
+        return F.lit(None).cast(EVIDENCE)
+    stored = edges.schema["evidence"].dataType.names
+    wanted = F.lit(None).cast(EVIDENCE)
+    names = edges.select(wanted.alias("e")).schema["e"].dataType
+    fields = [
+        (F.col(f"evidence.{f.name}") if f.name in stored else F.lit(None)).cast(f.dataType).alias(f.name) for f in names.fields
+    ]
+    return F.when(F.col("evidence").isNotNull(), F.struct(*fields))
+
+
 def merge_feedback_edges(edges: DataFrame, pairs: DataFrame, order: str) -> DataFrame:
-    """Next version of the feedback edges (from_id, to_id, weight, confidence, events)."""
+    """Next version of the feedback edges, with their evidence and the number of events merged.
+
+    Edges the batch touches get the evidence of its last event and, where the edges
+    have ``last_used``, its time (null if the pairs have none); others keep theirs.
+    """
     deltas = feedback_edge_deltas(pairs, order)
     known = edges.where(F.col("relation") == RELATION).select(
-        "from_id", "to_id", F.col("weight").alias("old_weight"), F.col("confidence").alias("old_confidence")
+        "from_id",
+        "to_id",
+        F.col("weight").alias("old_weight"),
+        F.col("confidence").alias("old_confidence"),
+        _whole_evidence(edges).alias("old_evidence"),
+        (F.col("last_used") if "last_used" in edges.columns else F.lit(None)).cast("timestamp").alias("old_used"),
     )
     joined = known.join(deltas, ["from_id", "to_id"], "full_outer")
     fresh = F.col("old_weight").isNull()
@@ -130,13 +155,24 @@ def merge_feedback_edges(edges: DataFrame, pairs: DataFrame, order: str) -> Data
     confidence = F.when(fresh & (F.col("events") == 1), F.col("first_confidence")).otherwise(
         F.least(F.lit(0.95), base_confidence + later_confidence * F.lit(0.25))
     )
+    nothing, carried = F.lit(None).cast("array<string>"), deltas.schema["last"].dataType.names
+    of_last = lambda name: (F.col(f"last.{name}") if name in carried else F.lit(None)).cast("string").alias(name)
+    evidence = F.struct(
+        F.lit(RELATION).alias("type"),
+        *[nothing.alias(name) for name in ("shared_tags", "left_tags", "right_tags")],
+        *[of_last(name) for name in ("run_id", "feedback_id", "status")],
+        (F.col("last.atom_ids") if "atom_ids" in carried else nothing).alias("atom_ids"),
+        *[of_last(name) for name in ("note", "suggestion_id")],
+    )
+    used = (F.col("last.created_at") if "created_at" in carried else F.lit(None)).cast("timestamp")
     return joined.select(
         "from_id",
         "to_id",
         F.lit(RELATION).alias("relation"),
         F.when(touched, weight).otherwise(F.col("old_weight")).alias("weight"),
         F.when(touched, confidence).otherwise(F.col("old_confidence")).alias("confidence"),
-        "last",
+        F.when(touched, used).otherwise(F.col("old_used")).alias("last_used"),
+        F.when(touched, evidence.cast(EVIDENCE)).otherwise(F.col("old_evidence")).alias("evidence"),
         F.coalesce("events", F.lit(0)).cast("bigint").alias("events"),
     )
 

@@ -186,8 +186,12 @@ def _atom_line(atom: Column) -> Column:
 def retrieval_requests(atoms: DataFrame, questions: DataFrame, focus_atoms: DataFrame, latent_ranks: DataFrame) -> DataFrame:
     """One request row per question for the caller's model, with the ids it may cite."""
     shown = F.struct("id", "kind", "activation", "tags", "source", "summary")
-    warm = focus_atoms.select(
-        F.collect_list(_atom_line(shown)).alias("lines"), F.collect_list("id").alias("ids")
+    # At most k rows, in the order of the focus whatever order they are read in.
+    place = F.struct(
+        (-F.col("activation")).alias("a"), (-F.col("importance")).alias("i"), F.col("id"), _atom_line(shown).alias("line")
+    )
+    warm = focus_atoms.select(F.sort_array(F.collect_list(place)).alias("rows")).select(
+        F.col("rows.line").alias("lines"), F.col("rows.id").alias("ids")
     )
     cold = (
         latent_ranks.join(atoms, "id")

@@ -237,13 +237,34 @@ def record_runs(memory: Memory, runs: DataFrame) -> tuple[Memory, DataFrame]:
     return replace(memory, atoms=touched), extract_suggestions(runs)
 
 
-def apply_feedback(memory: Memory, rows: DataFrame, suggestions: DataFrame | None = None) -> tuple[Memory, DataFrame]:
+def run_rows(runs: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(runs, usage events) to append: the run's own columns, and one event per run."""
+    kept = [c for c in ("id", "question", "focus_atom_ids", "latent_atom_ids", "output_text") if c in runs.columns]
+    events = runs.select(F.lit("retrieval").alias("event"), F.col("id").alias("run_id"), now.alias("created_at"))
+    return runs.select(*kept, now.alias("created_at")), events
+
+
+def feedback_events(resolved: DataFrame, now: Column) -> DataFrame:
+    """Usage events to append: one per feedback row."""
+    return resolved.select(F.lit("feedback").alias("event"), "run_id", now.alias("created_at"))
+
+
+def apply_feedback(
+    memory: Memory, rows: DataFrame, suggestions: DataFrame | None = None, runs: DataFrame | None = None
+) -> tuple[Memory, DataFrame]:
     """(memory, resolved feedback) after a batch of feedback rows.
 
     Positive feedback warms the cited atoms and strengthens bridges between
-    them; the other statuses are only recorded.
+    them; the other statuses are only recorded. A row that cites an unknown
+    atom, or (where ``runs`` is given) an unknown run, is an error.
     """
-    resolved = feedback.resolve_feedback(rows, suggestions)
+    resolved = materialise(feedback.resolve_feedback(rows, suggestions))
+    if not feedback.unknown_citations(resolved, memory.atoms).isEmpty():
+        raise ValueError("feedback cites an unknown atom")
+    if runs is not None:
+        known = runs.select(F.col("id").alias("run_id"))
+        if not resolved.join(known, "run_id", "left_anti").isEmpty():
+            raise ValueError("feedback on an unknown run")
     merged = feedback.merge_feedback_edges(
         memory.feedback_edges, feedback.feedback_pairs(resolved), "feedback_id"
     )

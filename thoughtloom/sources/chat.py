@@ -65,22 +65,24 @@ def message_text(message: Column) -> Column:
 
 
 def _present(value: Column) -> Column:
-    """The value unless it is absent, null, empty text or zero."""
-    plain = _get(value, "$", "string")
-    return F.when(plain.isNotNull() & ~plain.isin("", "0", "0.0", "false"), value)
+    """The value unless it is absent, null, empty text, zero or false; text like "0" is a value."""
+    kind, plain = F.schema_of_variant(value), _get(value, "$", "string")
+    empty = F.when(kind == "STRING", plain == "").when(kind == "BOOLEAN", plain == "false")
+    empty = F.coalesce(empty, F.coalesce(_get(value, "$", "double") == 0, F.lit(False)))
+    return F.when(plain.isNotNull() & ~empty, value)
 
 
 def normalize_timestamp(value: Column) -> Column:
-    """Epoch numbers become UTC ISO text, text stays, anything else is null."""
+    """Epoch numbers become UTC ISO text (true is 1), text stays, anything else is null."""
     kind = F.schema_of_variant(value)
-    number = _get(value, "$", "double")
+    number = F.when(kind == "BOOLEAN", _get(value, "$", "boolean").cast("double")).otherwise(_get(value, "$", "double"))
     micros = F.rint(number * F.lit(1e6)).cast("bigint")
     instant = F.to_utc_timestamp(F.timestamp_micros(micros), F.current_timezone())
     fraction = F.when(F.pmod(micros, F.lit(1000000)) == 0, F.lit("")).otherwise(
         F.date_format(instant, ".SSSSSS")
     )
     iso = F.concat(F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("+00:00"))
-    numeric = kind.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(kind, F.lit("DECIMAL"))
+    numeric = kind.isin("BIGINT", "DOUBLE", "FLOAT", "BOOLEAN") | F.startswith(kind, F.lit("DECIMAL"))
     return F.when(kind == "STRING", _get(value, "$", "string")).when(numeric, iso)
 
 

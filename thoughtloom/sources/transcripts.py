@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from thoughtloom.functions.text import strip
 
 # Fixed value: speaker marker at the start of a line.
-MARKER_PATTERN = r"(?mU)^\[(User|Assistant)\]:\s*"
+MARKER_PATTERN = r"(?mdU)^\[(User|Assistant)\]:\s*"
 _CUT, _ROLE_END = "\u0001", "\u0002"
 
 
