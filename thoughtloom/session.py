@@ -54,16 +54,6 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rebalance a scan that has fewer splits than the session has cores.
-
-    A large input has many splits and passes through unchanged; a small file
-    with one row group would otherwise keep all text work in one task.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def build_session(master: str = "local[*]", partitions: int = 8, app: str = "thoughtloom") -> SparkSession:
     """A session with the settings the jobs are designed for.
 
