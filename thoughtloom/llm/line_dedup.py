@@ -9,10 +9,11 @@ Words are counted over all texts (sorted arrays in the shared folder, which work
 into memory), and each set is ordered by rarity. Sets of equal words are settled by the
 first of them, one row a batch of texts. The rarest words of a set, its prefix, are
 posted: two sets of the wanted similarity share one. Postings of a word are compared by
-length, by position and by a bitmap of the words; those with a partner are active. Only
-active lines are sent with all their words, and verified in order: against lines that
-stand first, then against removed ones, so that a group of near copies costs about one
-comparison each. Shards grow in number with the texts.
+length, by position and by a parity sketch of the words (longer for longer sets), none
+of which loses a similar pair; what may match is joined by a spanning forest, never by
+all pairs. Lines of a connected group are sent once with all their words and verified in
+order: against lines that stand first, then against removed ones, so that a group of
+near copies costs about one comparison each. Shards grow in number with the texts.
 
 Nulls: a null text stays null; rows without an id take no part and are kept whole. Rows
 with equal ids are one document: equal line numbers don't remove each other. Lines
@@ -43,6 +44,7 @@ from thoughtloom.llm.common import (
     unsqueeze,
     unsqueeze_sorted,
 )
+from thoughtloom.llm.connected import components
 from thoughtloom.llm.kneser_ney import count_words, mapped, numbers, shared_folder, write
 
 #: The similarity as a fraction.
@@ -95,9 +97,8 @@ class Lines:
         if len(words):
             # The sum of its words' hashes names a set.
             self.names = np.add.reduceat(mixed(self.words + np.uint64(1)), self.starts)
-            self.bitmaps = np.bitwise_or.reduceat(np.uint64(1) << (self.words & np.uint64(63)), self.starts)
         else:
-            self.names = self.bitmaps = np.zeros(0, np.uint64)
+            self.names = np.zeros(0, np.uint64)
         order = np.lexsort((self.numbers, self.docs, self.names))
         new = np.append(True, self.names[order][1:] != self.names[order][:-1]) if len(order) else np.zeros(0, bool)
         #: First line of each set, by name; and the later ones.
@@ -115,6 +116,29 @@ class Lines:
         order = np.lexsort((line, word))
         return word[order], line[order], at[order]
 
+    def sketches(self, lines: np.ndarray) -> np.ndarray:
+        """Parity sketches of lines one after the other, each of ``width`` words."""
+        widths = width(self.sizes[lines])
+        out, ends = np.zeros(int(widths.sum()), np.uint64), np.cumsum(widths)
+        for w in WIDTHS:
+            own = np.flatnonzero(widths == w)
+            if len(own):
+                sizes = self.sizes[lines[own]]
+                tokens = self.words[ranges(self.starts[lines[own]], sizes)]
+                bit = tokens & np.uint64(64 * w - 1)
+                for k in range(w):
+                    flips = np.where(bit >> np.uint64(6) == k, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
+                    out[ends[own] - w + k] = np.bitwise_xor.reduceat(flips, np.cumsum(sizes) - sizes)
+        return out
+
+
+#: Words of a parity sketch, and the longest set for each: random sets differ in half the bits.
+WIDTHS = (1, 2, 4, 8)
+
+
+def width(sizes: np.ndarray) -> np.ndarray:
+    return np.array(WIDTHS)[np.searchsorted([64, 150, 300], sizes)]
+
 
 def _row_batch(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows, strict=True), strict=True)))
@@ -165,87 +189,141 @@ def _spread(batches):
 
 
 def _posted(folder: str, bits: int, first: tuple[int, ...]):
-    names = ["shard", "words", "sets", "bitmaps", "sizes", "positions"]
+    names = ["shard", "words", "lines", "positions", "names", "sizes", "sketches"]
 
     def run(batches):
         for part in chain.from_iterable(slices(b, 1, 6_000_000) for b in batches):
             lines = Lines(part, folder, bits, first)
             word, line, at = lines.postings()
-            rows = [
-                (s, squeeze_sorted(word[a:b]), squeeze(lines.names[line[a:b]]), squeeze(lines.bitmaps[line[a:b]]),
-                 squeeze(lines.sizes[line[a:b]].astype(np.uint32)), squeeze(at[a:b].astype(np.uint32)))
-                for s, a, b in by_shard((word >> np.uint64(64 - bits)).astype(np.int64), 1 << bits)
-            ]
+            rows = []
+            for s, a, b in by_shard((word >> np.uint64(64 - bits)).astype(np.int64), 1 << bits):
+                own, which = np.unique(line[a:b], return_inverse=True)
+                rows.append((
+                    s, squeeze_sorted(word[a:b]), squeeze(which.astype(np.uint32)), squeeze(at[a:b].astype(np.uint32)),
+                    squeeze(lines.names[own]), squeeze(lines.sizes[own].astype(np.uint32)), squeeze(lines.sketches(own)),
+                ))
             if rows:
                 yield _row_batch(names, rows)
 
     return run
 
 
-def posting_key(words: np.ndarray, names: np.ndarray) -> np.ndarray:
-    return mixed(words * np.uint64(31) + names)
-
-
-def fits(size_a, size_b, bits_a, bits_b, at_a=None, at_b=None) -> np.ndarray:
-    """Whether sets can be similar: by length, by position of a common word, by bitmap."""
-    common = least_common(size_a, size_b)
-    fine = np.minimum(size_a, size_b) >= least_size(np.maximum(size_a, size_b))
-    if at_a is not None:
+class Sets:
+    """Distinct sets of a shard: names, sizes, and sketches folded to every width up to their own."""
+
+    def __init__(self, rows: list[dict]):
+        names = np.concatenate([unsqueeze(r["names"], np.uint64) for r in rows])
+        sizes = np.concatenate([unsqueeze(r["sizes"], np.uint32) for r in rows]).astype(np.int64)
+        flat_sketches = np.concatenate([unsqueeze(r["sketches"], np.uint64) for r in rows])
+        widths = width(sizes)
+        ends = np.cumsum(widths)
+        self.names, at, self.of_row = np.unique(names, return_index=True, return_inverse=True)
+        self.sizes, self.widths, ends = sizes[at], widths[at], ends[at]
+        self.folded = {}
+        for w in WIDTHS:
+            sketch = np.zeros((len(at), w), np.uint64)
+            for k in range(max(WIDTHS)):
+                own = np.flatnonzero((self.widths >= w) & (self.widths > k))
+                sketch[own, k % w] ^= flat_sketches[ends[own] - self.widths[own] + k]
+            self.folded[w] = sketch
+
+    def may_match(self, a, b, at_a, at_b) -> np.ndarray:
+        """Whether pairs can be similar by length, position of a common word, and sketch."""
+        size_a, size_b = self.sizes[a], self.sizes[b]
+        common = least_common(size_a, size_b)
+        fine = np.minimum(size_a, size_b) >= least_size(np.maximum(size_a, size_b))
         fine &= np.minimum(at_a, at_b) + 1 + np.minimum(size_a - at_a, size_b - at_b) - 1 >= common
-    return fine & (np.bitwise_count(bits_a ^ bits_b) <= size_a + size_b - 2 * common)
-
+        narrow, differ = np.minimum(self.widths[a], self.widths[b]), size_a + size_b - 2 * common
+        for w in WIDTHS:
+            own = np.flatnonzero(fine & (narrow == w))
+            if len(own):
+                apart = np.bitwise_count(self.folded[w][a[own]] ^ self.folded[w][b[own]]).sum(axis=1, dtype=np.int64)
+                fine[own] = apart <= differ[own]
+        return fine
 
-def _active(folder: str, wide: int = 1024):
-    """Write the keys of postings that may have a partner; words with many postings are taken as they are."""
 
+def _joined(table: pa.Table) -> pa.Table:
+    """Forest (a, b) over the sets of a shard that share a prefix word and may match."""
+    rows = list(rows_of(table.to_batches()))
+    sets = Sets(rows)
+    word = np.concatenate([unsqueeze_sorted(r["words"], np.uint64) for r in rows])
+    at = np.concatenate([unsqueeze(r["positions"], np.uint32) for r in rows]).astype(np.int64)
+    counts = [len(unsqueeze(r["names"], np.uint64)) for r in rows]
+    base = np.cumsum(counts) - counts
+    own = sets.of_row[np.concatenate([unsqueeze(r["lines"], np.uint32) + np.int64(k) for r, k in zip(rows, base, strict=True)])]
+    order = np.lexsort((own, sets.sizes[own], word))
+    word, at, own = word[order], at[order], own[order]
+    new = np.append(True, (word[1:] != word[:-1]) | (own[1:] != own[:-1]))
+    word, at, own = word[new], at[new], own[new]
+    size = sets.sizes[own]
+    start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+    count = np.diff(np.append(start, len(word)))
+    behind = np.repeat(start + count, count) - np.arange(len(word))
+    root, pairs = np.arange(len(sets.names)), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    i, step = np.flatnonzero(behind > 1), 1
+    while len(i):
+        j = i + step
+        apart = root[own[i]] != root[own[j]]
+        a, b = i[apart], j[apart]
+        met = sets.may_match(own[a], own[b], at[a], at[b])
+        for x, y in zip(own[a[met]].tolist(), own[b[met]].tolist(), strict=True):
+            x, y = find(x), find(y)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                pairs.append((x, y))
+        if met.any():
+            while (root != root[root]).any():
+                root[:] = root[root]
+        step += 1
+        # Sizes ascend: once the next one is too long, all further ones are.
+        i = i[behind[i] > step]
+        i = i[size[i] >= least_size(size[i + step])]
+    sides = sets.names[np.array(pairs, np.int64).reshape(-1, 2)].view(np.int64)
+    return pa.table({"a": pa.array(sides[:, 0]), "b": pa.array(sides[:, 1])})
+
+
+def _write_members(folder: str):
     def run(table: pa.Table) -> pa.Table:
-        rows = list(rows_of(table.to_batches()))
-        word = np.concatenate([unsqueeze_sorted(r["words"], np.uint64) for r in rows])
-        name, bits = (np.concatenate([unsqueeze(r[c], np.uint64) for r in rows]) for c in ("sets", "bitmaps"))
-        size, at = (np.concatenate([unsqueeze(r[c], np.uint32) for r in rows]).astype(np.int64) for c in ("sizes", "positions"))
-        order = np.lexsort((name, word))
-        word, name, bits, size, at = word[order], name[order], bits[order], size[order], at[order]
-        new = np.append(True, (word[1:] != word[:-1]) | (name[1:] != name[:-1]))
-        word, name, bits, size, at = word[new], name[new], bits[new], size[new], at[new]
-        order = np.lexsort((size, word))
-        word, name, bits, size, at = word[order], name[order], bits[order], size[order], at[order]
-        start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-        count = np.diff(np.append(start, len(word)))
-        behind = np.repeat(start + count, count) - np.arange(len(word))
-        active = np.repeat(count > wide, count)
-        i, step = np.flatnonzero((behind > 1) & ~active), 1
-        while len(i):
-            j = i + step
-            met = fits(size[i], size[j], bits[i], bits[j], at[i], at[j])
-            active[i[met]] = active[j[met]] = True
-            step += 1
-            # Sizes ascend: once too long, all further ones are.
-            i = i[(behind[i] > step) & (size[i] >= least_size(size[j]))]
-        shard = table.column("shard")[0].as_py()
-        write(folder, f"active-{shard}", np.sort(posting_key(word[active], name[active])))
-        return pa.table({"shard": [shard], "active": [int(active.sum())]})
+        node, root = (table.column(c).to_numpy().view(np.uint64) for c in ("node", "root"))
+        order, shard = np.argsort(node), table.column("shard")[0].as_py()
+        write(folder, f"member-{shard}", node[order])
+        write(folder, f"group-{shard}", root[order])
+        return pa.table({"shard": [shard]})
 
     return run
 
 
 def _sent(folder: str, bits: int, first: tuple[int, ...]):
-    names = ["shard", "words", "sets", "bitmaps", "docs", "numbers", "sizes", "tokens"]
+    names = ["shard", "groups", "sets", "docs", "numbers", "sizes", "tokens"]
 
     def run(batches):
         for part in chain.from_iterable(slices(b, 1, 6_000_000) for b in batches):
             lines = Lines(part, folder, bits, first)
-            word, line, _ = lines.postings()
-            keys, rows = posting_key(word, lines.names[line]), []
-            for s, a, b in by_shard((word >> np.uint64(64 - bits)).astype(np.int64), 1 << bits):
-                known = mapped(folder, f"active-{s}", "<u8")
-                if not len(known):
-                    continue
-                near = known[np.minimum(np.searchsorted(known, keys[a:b]), len(known) - 1)] == keys[a:b]
-                own = line[a:b][near]
-                if len(own):
-                    tokens = lines.words[ranges(lines.starts[own], lines.sizes[own])]
-                    rows.append((s, squeeze_sorted(word[a:b][near]), squeeze(lines.names[own]), squeeze(lines.bitmaps[own]),
-                                 squeeze(lines.docs[own]), squeeze(lines.numbers[own]), squeeze(lines.sizes[own]), squeeze(tokens)))
+            own, groups = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            name = lines.names[lines.first]
+            for s, a, b in by_shard((name >> np.uint64(64 - bits)).astype(np.int64), 1 << bits):
+                known = mapped(folder, f"member-{s}", "<u8")
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, name[a:b]), len(known) - 1)
+                    met = known[at] == name[a:b]
+                    own.append(lines.first[a:b][met])
+                    groups.append(mapped(folder, f"group-{s}", "<u8")[at[met]])
+            own, groups = np.concatenate(own), np.concatenate(groups)
+            order = np.argsort(groups, kind="stable")
+            own, groups = own[order], groups[order]
+            rows = []
+            for s, a, b in by_shard((groups >> np.uint64(64 - bits)).astype(np.int64), 1 << bits):
+                some = own[a:b]
+                tokens = lines.words[ranges(lines.starts[some], lines.sizes[some])]
+                rows.append((s, squeeze_sorted(groups[a:b]), squeeze(lines.names[some]), squeeze(lines.docs[some]),
+                             squeeze(lines.numbers[some]), squeeze(lines.sizes[some]), squeeze(tokens)))
             if rows:
                 yield _row_batch(names, rows)
 
@@ -258,14 +336,17 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return common * SIMILAR[1] >= (len(a) + len(b) - common) * SIMILAR[0]
 
 
-def matched(sizes: np.ndarray, bits: np.ndarray, tokens: list[np.ndarray]) -> np.ndarray:
+def matched(tokens: list[np.ndarray]) -> np.ndarray:
     """Which sets, given in order, are similar to an earlier one."""
+    sizes = np.array([len(t) for t in tokens], np.int64)
+    bits = np.array([np.bitwise_or.reduce(np.uint64(1) << (t & np.uint64(63))) for t in tokens], np.uint64)
     gone, kept, lost = np.zeros(len(sizes), bool), [], []
     for i in range(len(sizes)):
         for earlier in (kept, lost):
             if earlier:
                 at = np.array(earlier)
-                near = at[fits(sizes[at], sizes[i], bits[at], bits[i])]
+                most = sizes[at] + sizes[i] - 2 * least_common(sizes[at], sizes[i])
+                near = at[np.bitwise_count(bits[at] ^ bits[i]) <= most]
                 if any(similar(tokens[j], tokens[i]) for j in near):
                     gone[i] = True
                     break
@@ -274,25 +355,23 @@ def matched(sizes: np.ndarray, bits: np.ndarray, tokens: list[np.ndarray]) -> np
 
 
 def _verified(table: pa.Table) -> pa.Table:
-    """First places of sets that are similar to an earlier one with a word in common."""
+    """First places of sets that are similar to an earlier one of their group."""
     rows = list(rows_of(table.to_batches()))
-    word = np.concatenate([unsqueeze_sorted(r["words"], np.uint64) for r in rows])
-    name, bits = (np.concatenate([unsqueeze(r[c], np.uint64) for r in rows]) for c in ("sets", "bitmaps"))
+    group = np.concatenate([unsqueeze_sorted(r["groups"], np.uint64) for r in rows])
+    name = np.concatenate([unsqueeze(r["sets"], np.uint64) for r in rows])
     docs, sizes = (np.concatenate([unsqueeze(r[c], np.int64) for r in rows]) for c in ("docs", "sizes"))
     numbers_ = np.concatenate([unsqueeze(r["numbers"], np.int32) for r in rows])
     tokens = np.split(np.concatenate([unsqueeze(r["tokens"], np.uint64) for r in rows]), np.cumsum(sizes)[:-1])
-    # The first place of each set under each word, then in order of place.
-    order = np.lexsort((numbers_, docs, name, word))
-    new = np.append(True, (word[order][1:] != word[order][:-1]) | (name[order][1:] != name[order][:-1]))
-    order = order[new]
-    order = order[np.lexsort((numbers_[order], docs[order], word[order]))]
-    out = []
-    bounds = np.append(np.flatnonzero(np.append(True, word[order][1:] != word[order][:-1])), len(order))
+    # The first place of each set, then the sets of a group in order of place.
+    order = np.lexsort((numbers_, docs, name))
+    order = order[np.append(True, name[order][1:] != name[order][:-1])]
+    order = order[np.lexsort((numbers_[order], docs[order], group[order]))]
+    gone = [np.zeros(0, np.int64)]
+    bounds = np.append(np.flatnonzero(np.append(True, group[order][1:] != group[order][:-1])), len(order))
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        if b - a > 1:
-            own = order[a:b]
-            out.append(own[matched(sizes[own], bits[own], [tokens[i] for i in own])])
-    gone = np.unique(np.concatenate([np.zeros(0, np.int64), *out]))
+        own = order[a:b]
+        gone.append(own[matched([tokens[i] for i in own])])
+    gone = np.concatenate(gone)
     return _places(docs[gone], numbers_[gone])
 
 
@@ -307,13 +386,16 @@ def later_matches(docs: DataFrame, bytes_per_shard: int = 16_000_000) -> DataFra
     copies = firsts.where("shard >= 0").groupBy("shard").applyInArrow(_later_copies, REMOVED)
     inside = firsts.where("shard < 0").mapInArrow(_spread, REMOVED)
     posted = rows.mapInArrow(
-        _posted(folder, bits, first), "shard long, words binary, sets binary, bitmaps binary, sizes binary, positions binary"
+        _posted(folder, bits, first),
+        "shard long, words binary, lines binary, positions binary, names binary, sizes binary, sketches binary",
     )
+    pairs = posted.groupBy("shard").applyInArrow(_joined, "a long, b long")
+    members = components(pairs).withColumn("shard", F.shiftrightunsigned("node", 64 - bits))
     # One row a shard; the arrays are in the folder by then.
-    posted.groupBy("shard").applyInArrow(_active(folder), "shard long, active long").agg(F.sum("active")).collect()
+    members.groupBy("shard").applyInArrow(_write_members(folder), "shard long").agg(F.count("shard")).collect()
     sent = rows.mapInArrow(
         _sent(folder, bits, first),
-        "shard long, words binary, sets binary, bitmaps binary, docs binary, numbers binary, sizes binary, tokens binary",
+        "shard long, groups binary, sets binary, docs binary, numbers binary, sizes binary, tokens binary",
     )
     near = sent.groupBy("shard").applyInArrow(_verified, REMOVED)
     return copies.union(inside).union(near)
