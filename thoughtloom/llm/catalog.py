@@ -119,3 +119,34 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.remove_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "lines.n_lines", "lines.n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLES["op7_host_rules"] = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, source AS host, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM d
+),
+pos AS (SELECT k, words, unnest(range(1, greatest(len(words) - 1, 1))) AS i FROM w),
+times AS (SELECT k, i, count(*) OVER (PARTITION BY k, words[i], words[i + 1], words[i + 2]) AS n FROM pos),
+covered AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM times WHERE n > 1) GROUP BY k),
+f AS (
+  SELECT doc_id, host, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN covered USING (k)
+),
+j AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_words AS own_failed
+  FROM f
+),
+h AS (SELECT host, count(*) AS n, count(*) FILTER (WHERE base_failed OR own_failed) AS f FROM j WHERE host IS NOT NULL GROUP BY host),
+p AS (SELECT avg(f / n) AS m, var_pop(f / n) - avg(f / n) * (1 - avg(f / n)) * avg(1 / n) AS v, avg(n) AS size FROM h),
+q AS (SELECT m, CASE WHEN v > 0 THEN greatest(m * (1 - m) / v - 1, 0) ELSE size END AS weight FROM p),
+bad AS (SELECT host FROM h, q WHERE (f + weight * m) / (n + weight) > 0.5)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR own_failed OR (host IS NOT NULL AND host IN (SELECT host FROM bad))) AS kept
+FROM j
+"""
