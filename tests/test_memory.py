@@ -171,7 +171,7 @@ def test_feedback_updates_edges_and_atoms(spark):
     merged = {(r["from_id"], r["to_id"]): r for r in fb.merge_feedback_edges(stored, pairs, "feedback_id").collect()}
     assert merged[("a", "b")]["weight"] == pytest.approx(0.46)
     assert merged[("a", "b")]["confidence"] == pytest.approx(0.73 + 0.83 * 0.25)
-    assert merged[("a", "b")]["last"]["feedback_id"] == 2
+    assert merged[("a", "b")]["evidence"]["feedback_id"] == "2"
     assert (merged[("a", "c")]["weight"], merged[("a", "c")]["confidence"]) == (1.0, 0.95)
     assert merged[("b", "c")]["confidence"] == 0.83
     atoms = spark.createDataFrame([("a", 0.5), ("b", 0.1), ("c", 0.3), ("d", 0.2)], "id string, activation double")
