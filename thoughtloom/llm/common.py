@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,46 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word of a text in bytes."""
+    bytes_ = np.frombuffer(data, np.uint8)
+    space = np.ones(len(bytes_) + 2, np.int8)
+    space[1:-1] = (bytes_ == 32) | ((bytes_ >= 9) & (bytes_ <= 13))
+    edges = np.diff(space)
+    return np.flatnonzero(edges < 0), np.flatnonzero(edges > 0)
+
+
+_BLOCK = 1 << 17
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse modulo 2 ** 64."""
+    steps = np.full((2, n), [[MULTIPLIER], [np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))]], np.uint64)
+    steps[:, 0] = 1
+    return tuple(np.cumprod(steps, axis=1))
+
+
+def span_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word of a text: its bytes as digits to the base of the multiplier.
+
+    Sums of whole blocks give all words of a block at once, whatever their number.
+    """
+    bytes_, out = np.frombuffer(data, np.uint8), np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        first = int(starts[at])
+        stop = max(at + 1, int(np.searchsorted(ends, first + _BLOCK, "right")))
+        block = bytes_[first : ends[stop - 1]]
+        power, inverse = _powers(max(_BLOCK, 1 << (len(block) - 1).bit_length()))
+        sums = np.zeros(len(block) + 1, np.uint64)
+        np.cumsum((block.astype(np.uint64) + np.uint64(1)) * power[: len(block)], out=sums[1:])
+        a, b = starts[at:stop] - first, ends[at:stop] - first
+        out[at:stop] = (sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64)
+        at = stop
+    return mixed(out)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread 64-bit values evenly, so that their high bits can name a shard."""
     h = h ^ (h >> np.uint64(33))

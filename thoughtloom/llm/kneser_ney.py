@@ -28,33 +28,33 @@ import os
 import uuid
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thoughtloom.llm.common import (
-    WordHashes,
     by_shard,
     flat,
     lower_ascii,
     power_of_two,
     rows_of,
     slices,
+    span_hashes,
     squeeze,
     squeeze_sorted,
     unsqueeze,
     unsqueeze_sorted,
+    word_spans,
 )
 from thoughtloom.session import materialise, shared_dir
 
-_HASHES = WordHashes()
-#: The end token: no word holds a line end.
-END = np.uint64(_HASHES[b"\n"])
+#: The end token, a fixed value of its own.
+END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
 
 #: Word numbers in one file of totals.
 RANGE_BITS = 20
@@ -119,10 +119,16 @@ def sequences(batches, least_tokens: int):
     """(batch part, hashes of its tokens with an end after each text, tokens of each text) of some texts at a time."""
     for batch in batches:
         for part in slices(batch, 1, least_tokens * 8):
-            found = [_HASHES.of(lower_ascii(flat(t)).split()) for t in part.column(1).to_pylist()]
-            sizes = np.array([len(x) + 1 for x in found], np.int64)
-            end = np.array([END], np.uint64)
-            yield part, np.concatenate([np.zeros(0, np.uint64), *chain.from_iterable((x, end) for x in found)]), sizes
+            texts = [lower_ascii(flat(t)) for t in part.column(1).to_pylist()]
+            data = b"\n".join(texts)
+            starts, ends = word_spans(data)
+            # Words of a text, and the place of its end token among all tokens.
+            stops = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+            hashes = np.full(len(starts) + len(texts), END, np.uint64)
+            words = np.ones(len(hashes), bool)
+            words[stops + np.arange(len(texts))] = False
+            hashes[words] = span_hashes(data, starts, ends)
+            yield part, hashes, np.diff(stops, prepend=0) + 1
 
 
 def discounts(n: np.ndarray) -> tuple[float, float, float]:

@@ -30,7 +30,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thoughtloom.llm.common import (
-    WordHashes,
     by_shard,
     flat,
     lower_ascii,
@@ -39,17 +38,19 @@ from thoughtloom.llm.common import (
     ranges,
     rows_of,
     slices,
+    span_hashes,
     squeeze,
     squeeze_sorted,
     unsqueeze,
     unsqueeze_sorted,
+    word_spans,
 )
 from thoughtloom.llm.connected import components
 from thoughtloom.llm.kneser_ney import count_words, mapped, numbers, shared_folder, write
+from thoughtloom.session import materialise
 
 #: The similarity as a fraction.
 SIMILAR = (4, 5)
-_HASHES = WordHashes()
 REMOVED = "doc_id long, line_no int"
 
 
@@ -69,17 +70,17 @@ class Lines:
     """Sets of words of the lines of some texts, each in order of rarity, and their first places."""
 
     def __init__(self, part: pa.RecordBatch, folder: str, bits: int, first: tuple[int, ...]):
-        ids, docs, numbers_, words = part.column(0).to_pylist(), [], [], []
-        for doc_id, text in zip(ids, part.column(1).to_pylist(), strict=True):
-            if doc_id is not None and text:
-                for k, line in enumerate(lower_ascii(flat(text)).split(b"\n")):
-                    own = line.split()
-                    if own:
-                        docs.append(doc_id)
-                        numbers_.append(k)
-                        words.append(own)
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        hashes = _HASHES.of(list(chain.from_iterable(words))) if words else np.zeros(0, np.uint64)
+        rows = [(i, lower_ascii(flat(t))) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if i is not None and t]
+        data = b"\n".join(t for _, t in rows)
+        starts, ends = word_spans(data)
+        hashes = span_hashes(data, starts, ends)
+        # Lines of all texts are counted through; texts are joined by line ends.
+        breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+        of_word = np.searchsorted(breaks, starts)
+        lines_with_words, line_of_word = np.unique(of_word, return_inverse=True)
+        text_starts = np.cumsum([0] + [len(t) + 1 for _, t in rows])[: len(rows)]
+        first_lines = np.searchsorted(breaks, text_starts)
+        row = np.searchsorted(first_lines, lines_with_words, "right") - 1
         distinct, which = np.unique(hashes, return_inverse=True)
         found = numbers(folder, bits, first, distinct)
         times = np.zeros(len(distinct), np.uint64)
@@ -88,13 +89,15 @@ class Lines:
         order = np.argsort(times, kind="stable")  # hashes ascend already
         place = np.empty(len(order), np.uint64)
         place[order] = np.arange(len(order), dtype=np.uint64)
-        keys = np.unique((np.repeat(np.arange(len(words), dtype=np.uint64), counts) << np.uint64(32)) | place[which])
+        keys = np.sort((line_of_word.astype(np.uint64) << np.uint64(32)) | place[which])
+        keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
         line = (keys >> np.uint64(32)).astype(np.int64)
         self.words = distinct[order][(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-        self.docs, self.numbers = np.array(docs, np.int64), np.array(numbers_, np.int32)
-        self.sizes = np.bincount(line, minlength=len(words))
+        self.docs = np.array([i for i, _ in rows], np.int64)[row]
+        self.numbers = (lines_with_words - first_lines[row]).astype(np.int32)
+        self.sizes = np.bincount(line, minlength=len(row))
         self.starts = np.cumsum(self.sizes) - self.sizes
-        if len(words):
+        if len(row):
             # The sum of its words' hashes names a set.
             self.names = np.add.reduceat(mixed(self.words + np.uint64(1)), self.starts)
         else:
@@ -144,66 +147,60 @@ def _row_batch(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows, strict=True), strict=True)))
 
 
-def _firsts(folder: str, bits: int, first: tuple[int, ...]):
-    """Names of the sets of each batch with their first places; places of later ones."""
-
-    def run(batches):
-        for part in chain.from_iterable(slices(b, 1, 6_000_000) for b in batches):
-            lines = Lines(part, folder, bits, first)
-            rows = [(-1, b"", squeeze(lines.docs[lines.later]), squeeze(lines.numbers[lines.later]))]
-            names = lines.names[lines.first]
-            for s, a, b in by_shard((names >> np.uint64(64 - bits)).astype(np.int64), 1 << bits):
-                own = lines.first[a:b]
-                rows.append((s, squeeze_sorted(names[a:b]), squeeze(lines.docs[own]), squeeze(lines.numbers[own])))
-            yield _row_batch(["shard", "names", "docs", "numbers"], rows)
-
-    return run
-
-
 def _places(docs: np.ndarray, numbers_: np.ndarray) -> pa.Table:
     return pa.table({"doc_id": pa.array(docs.astype(np.int64)), "line_no": pa.array(numbers_.astype(np.int32))})
 
 
-def _later_copies(table: pa.Table) -> pa.Table:
+def _later_copies(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     """Places of sets that stand earlier in another batch."""
-    rows = list(rows_of(table.to_batches()))
-    docs = np.concatenate([unsqueeze(r["docs"], np.int64) for r in rows])
-    numbers_ = np.concatenate([unsqueeze(r["numbers"], np.int32) for r in rows])
-    names = np.concatenate([unsqueeze_sorted(r["names"], np.uint64) for r in rows])
+    docs = np.concatenate([np.zeros(0, np.int64), *[unsqueeze(r["docs"], np.int64) for r in rows]])
+    numbers_ = np.concatenate([np.zeros(0, np.int32), *[unsqueeze(r["numbers"], np.int32) for r in rows]])
+    names = np.concatenate([np.zeros(0, np.uint64), *[unsqueeze_sorted(r["firsts"], np.uint64) for r in rows]])
+    if not len(names):
+        return docs, numbers_
     order = np.lexsort((numbers_, docs, names))
     names, docs, numbers_ = names[order], docs[order], numbers_[order]
     new = np.append(True, names[1:] != names[:-1])
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
     later = (docs != docs[head]) | (numbers_ != numbers_[head])
-    return _places(docs[later], numbers_[later])
+    return docs[later], numbers_[later]
 
 
-def _unpacked(rows, unused=None):
-    for row in rows_of(rows):
-        yield unsqueeze(row["docs"], np.int64), unsqueeze(row["numbers"], np.int32)
-
-
-def _spread(batches):
-    for docs, numbers_ in _unpacked(batches):
-        yield from _places(docs, numbers_).to_batches()
+POSTED = (
+    "shard long, words binary, lines binary, positions binary, names binary, sizes binary, sketches binary, "
+    "firsts binary, docs binary, numbers binary, later_docs binary, later_numbers binary"
+)
 
 
 def _posted(folder: str, bits: int, first: tuple[int, ...]):
-    names = ["shard", "words", "lines", "positions", "names", "sizes", "sketches"]
+    """Rows for the shards of each batch: prefixes by word; names of the sets with their first places.
+
+    Later places within the batch need no shard and go along with some row.
+    """
+    names, nothing = [x.split()[0] for x in POSTED.split(", ")], squeeze(np.zeros(0, np.uint64))
 
     def run(batches):
-        for part in chain.from_iterable(slices(b, 1, 6_000_000) for b in batches):
+        for part in chain.from_iterable(slices(b, 1, 2_500_000) for b in batches):
             lines = Lines(part, folder, bits, first)
+            if not len(lines.first):
+                continue
             word, line, at = lines.postings()
-            rows = []
+            rows = {}
             for s, a, b in by_shard((word >> np.uint64(64 - bits)).astype(np.int64), 1 << bits):
                 own, which = np.unique(line[a:b], return_inverse=True)
-                rows.append((
-                    s, squeeze_sorted(word[a:b]), squeeze(which.astype(np.uint32)), squeeze(at[a:b].astype(np.uint32)),
+                rows[s] = [
+                    squeeze_sorted(word[a:b]), squeeze(which.astype(np.uint32)), squeeze(at[a:b].astype(np.uint32)),
                     squeeze(lines.names[own]), squeeze(lines.sizes[own].astype(np.uint32)), squeeze(lines.sketches(own)),
-                ))
-            if rows:
-                yield _row_batch(names, rows)
+                ]
+            name, places = lines.names[lines.first], {}
+            for s, a, b in by_shard((name >> np.uint64(64 - bits)).astype(np.int64), 1 << bits):
+                own = lines.first[a:b]
+                places[s] = [squeeze_sorted(name[a:b]), squeeze(lines.docs[own]), squeeze(lines.numbers[own])]
+            later = [squeeze(lines.docs[lines.later]), squeeze(lines.numbers[lines.later])]
+            out = []
+            for s in sorted(rows.keys() | places.keys()):
+                out.append((s, *rows.get(s, [nothing] * 6), *places.get(s, [nothing] * 3), *(later if not out else [nothing] * 2)))
+            yield _row_batch(names, out)
 
     return run
 
@@ -242,9 +239,30 @@ class Sets:
         return fine
 
 
-def _joined(table: pa.Table) -> pa.Table:
-    """Forest (a, b) over the sets of a shard that share a prefix word and may match."""
+#: What a shard answers: places to remove (doc_id, line_no), or links (a, b) of sets.
+ANSWER = "doc_id long, line_no int, a long, b long"
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    """Later copies, and links of sets that may match, of a shard."""
     rows = list(rows_of(table.to_batches()))
+    docs, numbers_ = _later_copies(rows)
+    docs = np.concatenate([docs, *[unsqueeze(r["later_docs"], np.int64) for r in rows]])
+    numbers_ = np.concatenate([numbers_, *[unsqueeze(r["later_numbers"], np.int32) for r in rows]])
+    pairs = _joined([r for r in rows if len(unsqueeze(r["names"], np.uint64))])
+    n, m = len(docs), len(pairs)
+    return pa.table({
+        "doc_id": pa.concat_arrays([pa.array(docs, pa.int64()), pa.nulls(m, pa.int64())]),
+        "line_no": pa.concat_arrays([pa.array(numbers_, pa.int32()), pa.nulls(m, pa.int32())]),
+        "a": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(pairs[:, 0])]),
+        "b": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(pairs[:, 1])]),
+    })
+
+
+def _joined(rows: list[dict]) -> np.ndarray:
+    """Forest (a, b) over the sets of a shard that share a prefix word and may match."""
+    if not rows:
+        return np.zeros((0, 2), np.int64)
     sets = Sets(rows)
     word = np.concatenate([unsqueeze_sorted(r["words"], np.uint64) for r in rows])
     at = np.concatenate([unsqueeze(r["positions"], np.uint32) for r in rows]).astype(np.int64)
@@ -285,8 +303,7 @@ def _joined(table: pa.Table) -> pa.Table:
         # Sizes ascend: once the next one is too long, all further ones are.
         i = i[behind[i] > step]
         i = i[size[i] >= least_size(size[i + step])]
-    sides = sets.names[np.array(pairs, np.int64).reshape(-1, 2)].view(np.int64)
-    return pa.table({"a": pa.array(sides[:, 0]), "b": pa.array(sides[:, 1])})
+    return np.ascontiguousarray(sets.names[np.array(pairs, np.int64).reshape(-1, 2)]).view(np.int64)
 
 
 def _write_members(folder: str):
@@ -304,7 +321,7 @@ def _sent(folder: str, bits: int, first: tuple[int, ...]):
     names = ["shard", "groups", "sets", "docs", "numbers", "sizes", "tokens"]
 
     def run(batches):
-        for part in chain.from_iterable(slices(b, 1, 6_000_000) for b in batches):
+        for part in chain.from_iterable(slices(b, 1, 2_500_000) for b in batches):
             lines = Lines(part, folder, bits, first)
             own, groups = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             name = lines.names[lines.first]
@@ -382,14 +399,10 @@ def later_matches(docs: DataFrame, bytes_per_shard: int = 16_000_000) -> DataFra
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = power_of_two(size / bytes_per_shard, 2)
     first, _ = count_words(rows, folder, bits)
-    firsts = rows.mapInArrow(_firsts(folder, bits, first), "shard long, names binary, docs binary, numbers binary")
-    copies = firsts.where("shard >= 0").groupBy("shard").applyInArrow(_later_copies, REMOVED)
-    inside = firsts.where("shard < 0").mapInArrow(_spread, REMOVED)
-    posted = rows.mapInArrow(
-        _posted(folder, bits, first),
-        "shard long, words binary, lines binary, positions binary, names binary, sizes binary, sketches binary",
-    )
-    pairs = posted.groupBy("shard").applyInArrow(_joined, "a long, b long")
+    posted = rows.mapInArrow(_posted(folder, bits, first), POSTED)
+    answers = materialise(posted.groupBy("shard").applyInArrow(_answered, ANSWER))
+    copies = answers.where(F.col("a").isNull()).select("doc_id", "line_no")
+    pairs = answers.where(F.col("a").isNotNull()).select("a", "b")
     members = components(pairs).withColumn("shard", F.shiftrightunsigned("node", 64 - bits))
     # One row a shard; the arrays are in the folder by then.
     members.groupBy("shard").applyInArrow(_write_members(folder), "shard long").agg(F.count("shard")).collect()
@@ -398,18 +411,17 @@ def later_matches(docs: DataFrame, bytes_per_shard: int = 16_000_000) -> DataFra
         "shard long, groups binary, sets binary, docs binary, numbers binary, sizes binary, tokens binary",
     )
     near = sent.groupBy("shard").applyInArrow(_verified, REMOVED)
-    return copies.union(inside).union(near)
+    return copies.union(near)
 
 
-def remove_lines(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with their text rewritten, and n_lines and n_removed beside it as ``lines``.
+def remove_lines(docs: DataFrame, counts: str = "lines") -> DataFrame:
+    """The rows of ``docs`` with their text rewritten, and a struct (n_lines, n_removed) beside it.
 
-    ``lines`` is a struct (n_lines, n_removed); a column of that name is replaced. The
+    The struct is the column ``counts``; one of that name in ``docs`` is replaced. The
     other columns are kept as they are.
     """
     gone = later_matches(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
     gone = gone.select(F.struct(F.col("doc_id"), F.col("gone")).alias("__found"))
-    kept = [F.col("__docs")[c].alias(c) for c in docs.columns if c not in ("text", "lines")]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__docs"))
     joined = rows.join(gone, F.col("__docs.doc_id").cast("long") == F.col("__found.doc_id"), "left")
     text, found = F.col("__docs.text"), F.col("__found.gone")
@@ -419,6 +431,6 @@ def remove_lines(docs: DataFrame) -> DataFrame:
         F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"),
         F.coalesce(F.size(found), F.lit(0)).alias("n_removed"),
     )
-    text = F.when(found.isNull() | text.isNull(), text).otherwise(left).alias("text")
-    out = joined.select(*kept, text, sizes.alias("lines"))
-    return out.select(*docs.columns, "lines") if "lines" not in docs.columns else out.select(*docs.columns)
+    made = {"text": F.when(found.isNull() | text.isNull(), text).otherwise(left), counts: sizes}
+    names = [*docs.columns, *([] if counts in docs.columns else [counts])]
+    return joined.select(*[(made[c] if c in made else F.col("__docs")[c]).alias(c) for c in names])
