@@ -117,3 +117,13 @@ def test_trees_cover_their_points():
 def test_nothing(spark, nothing):
     assert QUERIES["op9_url_filter"](spark, nothing).count() == 0
     assert QUERIES["op10_top_k"](spark, nothing).count() == 0
+
+
+def test_a_url_on_a_third_of_the_labelled_rows_is_mined(spark):
+    """Whatever its hash; supports are shares of all rows."""
+    named = spark.range(200).select(F.concat(F.lit("http://spam"), "id", F.lit(".test/offer")).alias("url"), F.lit(True).alias("blocked"))
+    hot = named.orderBy(F.xxhash64("url", "blocked").desc()).first().url
+    rare = spark.range(60_000).select(F.concat(F.lit("http://h"), "id", F.lit(".example/")).alias("url"), F.lit(False).alias("blocked"))
+    repeated = spark.range(30_000).select(F.lit(hot).alias("url"), F.lit(True).alias("blocked"))
+    rules = url_filter.mine(rare.union(repeated))
+    assert [r.url for r in url_filter.blocked_urls(repeated.union(rare), rules).collect()] == [hot]

@@ -8,9 +8,9 @@ surely enough are kept, without those that a kept part of them covers. They are
 matched by an inverted index: each rule is filed under its rarest token, a url looks
 up its tokens and is checked against the whole combination.
 
-Mining reads a bounded sample of labelled urls (``labelled_rows``, picked by hash);
-everything else reads all rows. Matching works on distinct urls, so a url on a third
-of all rows is matched once.
+Mining reads all labelled rows; baskets of equal tokens meet in one path of a tree
+before they are sent. Matching works on distinct urls, so a url on a third of all rows
+is matched once.
 
 Nulls: a null url, or one without "://", has an empty host and path and no tokens, so
 no rule fits and it is allowed. Labels without a url or with a null label aren't
@@ -66,17 +66,14 @@ def tokens_of(url: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(parts))
 
 
-def mine(
-    labelled: DataFrame, labelled_rows: int = 50_000, support: float = 0.002, least_rows: int = 30, confidence: float = 0.8
-) -> DataFrame:
+def mine(labelled: DataFrame, support: float = 0.002, least_rows: int = 30, confidence: float = 0.8) -> DataFrame:
     """Rules (tokens, anchor, confidence) from (url, blocked).
 
     A combination must occur with the label in ``least_rows`` rows and in a share
-    ``support`` of the sample, and hold in a share ``confidence`` of its rows.
+    ``support`` of all labelled rows, and hold in a share ``confidence`` of its rows.
     """
-    sample = labelled.where(F.col("url").isNotNull() & F.col("blocked").isNotNull())
-    sample = sample.orderBy(F.xxhash64("url", "blocked"), "url").limit(labelled_rows)
-    baskets = sample.select(
+    known = labelled.where(F.col("url").isNotNull() & F.col("blocked").isNotNull())
+    baskets = known.select(
         F.concat(
             tokens_of(F.col("url")), F.when(F.col("blocked"), F.array(F.lit(BLOCKED))).otherwise(F.array().cast("array<string>"))
         ).alias("items")
