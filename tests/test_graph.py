@@ -172,5 +172,5 @@ def test_graph_view(spark):
     )
     nodes = edges.graph_nodes(atoms, 2)
     listed = edges.graph_edges(nodes, bridges)
-    assert {(r["type"], r["status"]) for r in listed.collect()} == {("shared_tags", ""), ("inspire_feedback", "useful"), ("other", None)}
+    assert {(r["type"], r["status"]) for r in listed.collect()} == {("shared_tags", ""), ("inspire_feedback", "useful"), ("other", "")}
     assert edges.graph_stats(nodes, listed).first().asDict() == {"nodes": 2, "edges": 3, "focus": 1, "latent": 0}
