@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thoughtloom.llm import byte_bpe, host_rules, kneser_ney, line_dedup, packing, secret_scan, simhash, substring_dedup, top_k, url_filter
+from thoughtloom.llm import byte_bpe, collocations, host_rules, kneser_ney, line_dedup, packing, secret_scan, simhash, substring_dedup, syncmers, top_k, url_filter, whitening
 from thoughtloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,54 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT (base_failed OR own_failed OR (host IS NOT NULL AND host IN (SELECT host FROM bad))) AS kept
 FROM j
 """
+
+
+@_query
+def op11_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')) AS piece
+  FROM documents
+),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+totals AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+grams AS (
+  SELECT lang, size, array_to_string(words[i : i + size - 1], ' ') AS phrase
+  FROM (SELECT lang, size, words, unnest(range(1, len(words) - size + 2)) AS i FROM w, (VALUES (1), (2), (3)) s(size) WHERE len(words) >= size)
+),
+f AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS p, f AS a FROM f WHERE size > 1),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(p[1 : k], ' ') AS head, array_to_string(p[k + 1 :], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM c)
+),
+s AS (
+  SELECT cuts.lang, cuts.phrase, a, k, h.f AS l, t.f AS r, ((1000000::HUGEINT * a * a) // (h.f::HUGEINT * t.f))::BIGINT AS score
+  FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = cuts.head JOIN f t ON t.lang = cuts.lang AND t.phrase = cuts.tail
+),
+lowest AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, p[1] || ' ' || p[2] AS phrase, a FROM c WHERE size = 3
+  UNION ALL SELECT lang, p[2] || ' ' || p[3], a FROM c WHERE size = 3
+),
+longest AS (SELECT lang, phrase, max(a) AS b FROM inside GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+  phrase, a, l, r, n, score
+FROM lowest LEFT JOIN longest USING (lang, phrase) JOIN totals USING (lang)
+WHERE coalesce(100 * b < 50 * a, true)
+QUALIFY rank <= 2000
+"""
