@@ -9,10 +9,12 @@ left, its inverse to the right, for all intervals of a length at once.
 
 Counts are sums over shards. A phrase can only be frequent if the phrases one word
 shorter at either end are, so before the next length is enumerated, shards ask which of
-their phrases are frequent at all (words first): they send sorted 48-bit hashes with small counts, in
-compressed ranges, and get a bit each. A collision only keeps a phrase too many; what is
-counted in the end are the phrases themselves, as text, by Spark. The last step sends a
-row for each shard and phrase of which both parts may be frequent.
+their phrases are frequent at all (words and pairs at once, then length by length): they
+send sorted 48-bit hashes with small counts, in compressed ranges, and get a bit each. A
+collision only keeps a phrase too many; what is counted in the end are the phrases
+themselves, as text, by Spark. The last step has a row for each shard and phrase of which
+both parts may be frequent; up to ``UNIT_SHARDS`` shards of one language meet in a task,
+where Spark adds up their equal phrases before it sends them.
 
 A word on a third of all places is one word of a shard. Hash ranges hold about a million
 hashes each, whatever the input. Tasks hold one shard or range; nothing is collected but
@@ -28,6 +30,7 @@ phrases of one. An empty table gives no rows. Counts up to 10**16 are exact; pro
 from __future__ import annotations
 
 from array import array
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +43,7 @@ from pyspark.sql import functions as F
 from thoughtloom.llm.common import by_shard, flat, mixed, power_of_two, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
 from thoughtloom.session import materialise
 
-SHARD_WORDS = 1 << 21
+SHARD_WORDS, UNIT_SHARDS = 1 << 21, 8
 RANGE_HASHES = 1 << 20
 _HASH_BITS = 48
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -48,7 +51,10 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Marks between pieces become line feeds, tabs become spaces, A-Z becomes a-z.
 _PLAIN = bytes(10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
-INDEX = "shard long, lang string, n_words long, words binary, transform binary"
+INDEX = "shard long, unit long, lang string, n_words long, words binary, transform binary"
+
+
+_INDEX_TYPE = pa.schema([("shard", pa.int64()), ("unit", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64()), ("words", pa.binary()), ("transform", pa.binary())])
 
 
 class _Shard:
@@ -156,9 +162,9 @@ def _ranges(found: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
 def alive_phrases(index: Index, row: dict, length: int, bits: int) -> np.ndarray | None:
     """Which phrases of a length may be frequent, by the replies to all lengths up to it."""
     alive = None
-    for n in range(1, length + 1):
-        found, begin, _ = asked(index, row["lang"], n, alive)
-        told = {r["hash_range"]: r["bits"] for r in row["replies"] if r["length"] == n}
+    for n in range(min(length, 2), length + 1):
+        found, begin, _ = asked(index, row["lang"], n, alive if n > 2 else None)
+        told = {r["hash_range"]: r["bits"] for r in row["replies"] if (r["shard"], r["length"]) == (row["shard"], n)}
         kept = np.zeros(len(found), bool)
         for s, a, b in _ranges(found, bits):
             kept[a:b] = np.unpackbits(np.frombuffer(told[s], np.uint8), count=b - a).astype(bool)
@@ -181,13 +187,20 @@ def index_shards(docs: DataFrame, max_words: int = 3, lang_column: str = "lang",
     """One row a shard: its language, words and transform. No shuffle."""
 
     def run(batches):
-        held, serial = {}, TaskContext.get().partitionId() << 32
+        part = TaskContext.get().partitionId()
+        held, serial, full = {}, part << 32, Counter()
 
         def flush(lang: str):
             nonlocal serial
-            row = {"shard": serial, **held.pop(lang).row(lang, max_words)}
+            shard = held.pop(lang)
+            # Full shards of a task make units of their own, others units with those of the next tasks.
+            small = shard.n_words < SHARD_WORDS // 2
+            mark = f"{part // UNIT_SHARDS}" if small else f"{part} {full[lang] // UNIT_SHARDS}"
+            full[lang] += not small
+            unit = xxhash.xxh64_intdigest(f"{mark} {lang}".encode()) >> 1
+            row = {"shard": serial, "unit": unit, **shard.row(lang, max_words)}
             serial += 1
-            return pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64()), ("words", pa.binary()), ("transform", pa.binary())]))
+            return pa.RecordBatch.from_pylist([row], _INDEX_TYPE)
 
         total = 0
         for batch in batches:
@@ -215,24 +228,27 @@ def index_shards(docs: DataFrame, max_words: int = 3, lang_column: str = "lang",
     return docs.select(lang, F.col(text_column).cast("string")).mapInArrow(run, INDEX)
 
 
-def _ask(length: int, bits: int):
+def _ask(lengths: tuple[int, ...], bits: int):
     def run(batches):
         for row in _rows(batches):
             index = Index(row)
-            found, _, size = asked(index, row["lang"], length, alive_phrases(index, row, length - 1, bits))
-            counts = np.minimum(size, 255).astype(np.uint8)
-            ranges = _ranges(found, bits)
-            yield pa.RecordBatch.from_pydict({
-                "hash_range": pa.array([s for s, _, _ in ranges], pa.int32()),
-                "shard": pa.array([row["shard"]] * len(ranges), pa.int64()),
-                "hashes": pa.array([squeeze_sorted(found[a:b]) for _, a, b in ranges], pa.binary()),
-                "counts": pa.array([squeeze(counts[a:b]) for _, a, b in ranges], pa.binary()),
-            })
+            for length in lengths:
+                found, _, size = asked(index, row["lang"], length, alive_phrases(index, row, length - 1, bits) if length > 2 else None)
+                counts = np.minimum(size, 255).astype(np.uint8)
+                ranges = _ranges(found, bits)
+                yield pa.RecordBatch.from_pydict({
+                    "hash_range": pa.array([s for s, _, _ in ranges], pa.int32()),
+                    "shard": pa.array([row["shard"]] * len(ranges), pa.int64()),
+                    "unit": pa.array([row["unit"]] * len(ranges), pa.int64()),
+                    "length": pa.array([length] * len(ranges), pa.int32()),
+                    "hashes": pa.array([squeeze_sorted(found[a:b]) for _, a, b in ranges], pa.binary()),
+                    "counts": pa.array([squeeze(counts[a:b]) for _, a, b in ranges], pa.binary()),
+                })
 
     return run
 
 
-def _judge(length: int, least: int):
+def _judge(least: int):
     """Whether the counts of all shards reach the least count, a bit for each hash that was asked."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -247,7 +263,8 @@ def _judge(length: int, least: int):
         parts = np.split(kept, np.cumsum([len(x) for x in hashes_])[:-1])
         return pa.table({
             "shard": group["shard"],
-            "length": pa.array([length] * len(group), pa.int32()),
+            "unit": group["unit"],
+            "length": group["length"],
             "hash_range": group["hash_range"],
             "bits": pa.array([np.packbits(p).tobytes() for p in parts], pa.binary()),
         })
@@ -289,13 +306,12 @@ def counts(index: DataFrame, max_words: int = 3, least: int = 10) -> DataFrame:
     partitions = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits = power_of_two(max(words / RANGE_HASHES, 2 * partitions), most_bits=30)
     asking, replies = index, None
-    for length in range(1, max_words):
-        rows = asking.mapInArrow(_ask(length, bits), "hash_range int, shard long, hashes binary, counts binary")
-        judged = rows.groupBy("hash_range").applyInArrow(_judge(length, least), "shard long, length int, hash_range int, bits binary")
-        judged = materialise(judged)
+    for lengths in [(1, 2)[: max_words - 1], *[(n,) for n in range(3, max_words)]]:
+        rows = asking.mapInArrow(_ask(lengths, bits), "hash_range int, shard long, unit long, length int, hashes binary, counts binary")
+        judged = materialise(rows.groupBy("hash_range").applyInArrow(_judge(least), "shard long, unit long, length int, hash_range int, bits binary"))
         replies = judged if replies is None else replies.unionByName(judged)
-        of_shard = replies.groupBy("shard").agg(F.collect_list(F.struct("length", "hash_range", "bits")).alias("replies"))
-        asking = index.join(of_shard, "shard", "left").withColumn("replies", F.coalesce("replies", F.array().cast(of_shard.schema["replies"].dataType)))
+        of_unit = replies.groupBy("unit").agg(F.collect_list(F.struct("shard", "length", "hash_range", "bits")).alias("replies"))
+        asking = index.join(of_unit, "unit", "left").withColumn("replies", F.coalesce("replies", F.array().cast(of_unit.schema["replies"].dataType)))
     told = asking.mapInArrow(_tell(max_words, bits), "lang string, size int, phrase string, f long")
     return told.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
