@@ -7,6 +7,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from thoughtloom.operators import components, edges, notes
+from thoughtloom.operators.ranking import ranked
 from thoughtloom.operators.validation import validate_notes
 
 SCHEMA = (
@@ -104,7 +105,13 @@ def test_anchor_ties_are_alphabetical(spark):
 
 
 def note_id(kind, anchor, ids):
-    return hashlib.sha1("\n".join([kind, anchor, *ids]).encode()).hexdigest()[:16]
+    digests = [hashlib.md5(i.encode()).hexdigest() for i in ids]
+    sums = [str(sum(int(d[k : k + 15], 16) for d in digests)) for k in (0, 15)]
+    return hashlib.sha1("\n".join([kind, anchor, str(len(ids)), *sums]).encode()).hexdigest()[:16]
+
+
+def long_rows(frame_, *columns):
+    return sorted(tuple(r[c] for c in columns) for r in frame_.collect())
 
 
 def test_build_notes(spark):
@@ -119,15 +126,18 @@ def test_build_notes(spark):
             atom("6", ["bug"], "note", "", 0.5, 0.1),
         ],
     )
-    built, sources = notes.build_notes(atoms)
+    tables = notes.build_notes(atoms)
+    built, sources = tables.headers, tables.sources
     rows = {r["anchor"]: r for r in built.collect()}
     assert set(rows) == {"x", "bug"}
     note = rows["x"]
     assert note["note_type"] == "decision_note" and note["title"] == "Decision note: x"
-    assert note["source_atom_ids"] == ["3", "2", "1"] and note["source_spans"] == ["f:2", "f:1"]
+    of_note = lambda frame_: frame_.where(F.col("note_id") == note["id"])
+    assert long_rows(of_note(sources), "rank", "atom_id", "source") == [(1, "3", " f:2 "), (2, "2", "f:1"), (3, "1", "f:1")]
+    assert long_rows(of_note(tables.spans), "rank", "source") == [(1, "f:2"), (2, "f:1")]
     assert note["key_points"] == ["what now", "do it"] and note["open_questions"] == ["what now"]
     assert note["summary"] == "what now; do it Open question: what now"
-    assert note["tags"] == ["q", "x", "y"]
+    assert long_rows(of_note(tables.tags), "tag") == [("q",), ("x",), ("y",)]
     assert note["activation"] == round((0.9 + 0.5 + 0.5) / 3, 3)
     assert note["id"] == note_id("decision_note", "x", ["3", "2", "1"])
     empty = rows["bug"]
@@ -139,28 +149,63 @@ def test_build_notes(spark):
     assert validate_notes(built.limit(0), sources.limit(0), atoms).first()["verdict"] == "needs_data"
 
 
-def test_large_components_keep_their_sources_in_the_long_table(spark):
-    atoms = frame(spark, [atom(f"{i:02d}", ["big"], summary=f"p{i % 7}", activation=i / 100) for i in range(30)])
-    built, sources = notes.build_notes(atoms, inline_limit=10)
-    row = built.first()
-    assert row["source_atom_ids"] is None and row["atom_count"] == 30
-    assert sorted(r["atom_id"] for r in sources.collect()) == [f"{i:02d}" for i in range(30)]
-    assert row["key_points"] == ["p1", "p0", "p6", "p5", "p4"]
-    shuffled, _ = notes.build_notes(atoms.repartition(5), inline_limit=10)
-    assert shuffled.first()["id"] == row["id"]
+def test_a_component_with_a_third_of_all_atoms(spark):
+    """One shape and one id rule for every size; ranks without gathering the component."""
+    big = [atom(f"{i:04d}", ["big", f"t{i % 300}"], summary=f"p{i % 7}", activation=(i * 37 % 101) / 101, source=f"s{i % 450}") for i in range(1500)]
+    rest = [atom(f"r{i:04d}", [f"small{i // 3}"], activation=i % 2 / 2) for i in range(3000)]
+    atoms = frame(spark, big + rest)
+    tables = notes.build_notes(atoms)
+    row = tables.headers.where("anchor = 'big'").first()
+    ordered = sorted(big, key=lambda a: (-a[6], -a[5], a[0]))
+    assert row["atom_count"] == 1500 and row["id"] == note_id("concept_note", "big", [a[0] for a in big])
+    mine = F.col("note_id") == row["id"]
+    assert long_rows(tables.sources.where(mine), "rank", "atom_id") == [(k, a[0]) for k, a in enumerate(ordered, 1)]
+    labels = list(dict.fromkeys(a[1] for a in ordered))
+    assert long_rows(tables.spans.where(mine), "rank", "source") == list(enumerate(labels, 1))
+    assert tables.sources.count() == 4500 and tables.tags.where(mine).count() == 301
+    again = notes.build_notes(atoms.repartition(7))
+    assert {r["id"] for r in again.headers.collect()} == {r["id"] for r in tables.headers.collect()}
+    lines = [r["line"] for r in notes.note_documents(tables).where(F.col("id") == row["id"]).orderBy("line_no").collect()]
+    at = lines.index("source_atoms:")
+    assert lines[at + 1 : at + 1501] == [f'  - "{a[0]}"' for a in ordered] and lines[-450:] == [f"- `{x}`" for x in labels]
+
+
+def test_ranks_over_partitions(spark):
+    rows = [(g, (i * 7919) % 1000, i) for g, n in (("a", 700), ("b", 1), ("c", 300)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, x int, i int").repartition(9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ranked(df, ["g"], [F.desc("x"), F.asc("i")], "place").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for g in "abc":
+        want = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
+        assert [r["i"] for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["place"])] == [r[2] for r in want]
+    assert ranked(df.limit(0), ["g"], [F.asc("i")]).count() == 0
+
+
+def content(documents):
+    found = {}
+    for r in sorted(documents.collect(), key=lambda r: (r["id"], r["line_no"])):
+        found[r["id"]] = found.get(r["id"], "") + r["line"] + "\n"
+    return found
 
 
 def test_note_document_layout(spark):
     atoms = frame(spark, [atom("1", ["x"], summary='say "hi"', activation=0.655), atom("2", ["x"], summary="b", source='C:\\n"')])
-    built, _ = notes.build_notes(atoms)
-    doc = notes.note_documents(built).first()
-    assert doc["path"].startswith("Digested Notes/concept-note-x-")
-    body = doc["content"].split("\n")
+    tables = notes.build_notes(atoms)
+    documents = notes.note_documents(tables)
+    ((_, text),) = content(documents).items()
+    assert documents.first()["path"].startswith("Digested Notes/concept-note-x-")
+    body = text.split("\n")
     assert body[0] == "---" and body[2] == 'type: "concept_note"' and body[3] == 'state: "active"'
     assert 'activation: 0.48' in body and '  - "C:\\\\n\\""' in body
-    assert doc["content"].endswith("### Source Spans\n\n- `s1`\n- `C:\\n\"`\n")
-    manifest = notes.note_manifest(built, notes.note_documents(built), F.lit("2024-01-01").cast("timestamp")).first()
-    assert manifest["size"] == len(doc["content"].encode())
+    assert text.endswith("### Source Spans\n\n- `s1`\n- `C:\\n\"`\n")
+    manifest = notes.note_manifest(tables.headers, documents, F.lit("2024-01-01").cast("timestamp")).first()
+    assert manifest["size"] == len(text.encode())
+    bare = notes.build_notes(frame(spark, [atom("1", [], source=" "), atom("2", [], source=" ")]))
+    ((_, text),) = content(notes.note_documents(bare)).items()
+    assert "tags:\n  []\nsource_atoms:" in text and "source_spans:\n  []\n---" in text and text.endswith("\n- `(none)`\n")
 
 
 def test_graph_view(spark):

@@ -51,15 +51,27 @@ def test_import_digest_retrieve_feedback(spark, tmp_path):
     rebuilt = jobs.refresh(grown)
     counts = {r["table_name"]: r["n"] for r in jobs.refresh_summary(start, rebuilt).collect()}
     assert counts["atoms_after"] == 6 and counts["notes"] == 2 and counts["edges"] == 5
-    documents, manifest = jobs.export_notes(rebuilt, now())
-    assert documents.count() == manifest.count() == 2
+    vault = tmp_path / "vault"
+    documents, manifest = jobs.export_notes(rebuilt, str(vault))
+    assert documents.select("id").distinct().count() == manifest.count() == 2
     nodes, listed, stats = jobs.export_graph(rebuilt, 160)
     assert (nodes.count(), stats.first()["edges"]) == (6, listed.count())
 
-    listing = manifest.select("path", (F.col("size") + 1).alias("size"), "modified")
-    synced = jobs.sync_notes(rebuilt, manifest, listing)
-    warmed = synced.atoms.join(rebuilt.atoms.select("id", F.col("activation").alias("a0")), "id")
-    assert warmed.where("activation > a0").count() == 6
+    def warmed():
+        synced = jobs.sync_notes(rebuilt, manifest, str(vault))
+        atoms = synced.atoms.join(rebuilt.atoms.select("id", F.col("activation").alias("a0")), "id").where("activation > a0")
+        notes = synced.notes.join(rebuilt.notes.select("id", F.col("activation").alias("a0")), "id").where("activation > a0")
+        return {r["id"] for r in atoms.collect()}, {r["id"] for r in notes.collect()}
+
+    assert warmed() == (set(), set())  # nothing was edited
+    edited = manifest.orderBy("id").first()
+    files = [f for f in vault.rglob("part-*") if edited["path"].split("/")[-1] in str(f.parent)]
+    whole = "".join(f.read_text() for f in sorted(files))
+    assert len(whole.encode()) == edited["size"] and f'note_id: "{edited["id"]}"' in whole
+    with files[-1].open("a") as file:
+        file.write("an edit\n")
+    of_note = {r["atom_id"] for r in rebuilt.note_sources.where(F.col("note_id") == edited["id"]).collect()}
+    assert warmed() == (of_note, {edited["id"]})
 
     questions = spark.createDataFrame([(1, "how to keep memory local?")], "question_id int, question string")
     request = jobs.retrieve(rebuilt, questions, focus_limit=2, latent_limit=4).first()

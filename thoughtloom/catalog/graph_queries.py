@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from thoughtloom.catalog.common import CONV_CTES, DOC_CTES, conversation_atoms, document_atoms, query, sql_fold, sql_id, sql_round
@@ -11,8 +13,8 @@ from thoughtloom.operators import notes as nt
 from thoughtloom.operators.feedback import RELATION
 from thoughtloom.operators.retrieval import focus
 from thoughtloom.operators.validation import combined_verdict, dangling_sources, validate_notes
-from thoughtloom.session import materialise
-from thoughtloom.sources.listings import manifest_diff
+from thoughtloom.session import materialise, shared_dir
+from thoughtloom.sources.listings import manifest_diff, read_listing
 
 _WEIGHT = "least(1e0, len(shared)::DOUBLE / sqrt(greatest(ln, 1)::DOUBLE * greatest(rn, 1)))"
 
@@ -169,10 +171,11 @@ h AS (SELECT component, count(*) AS atom_count,
     CASE WHEN bool_or(atype = 'friction') THEN 'friction_note' WHEN bool_or(atype = 'concept') THEN 'concept_note'
       ELSE 'decision_note' END AS note_type,
     {sql_round("sum(activation::DECIMAL(24,12))::DOUBLE / count(*)")} AS activation,
+    sum(('0x' || substr(md5(id), 1, 15))::BIGINT) AS id_sum_0, sum(('0x' || substr(md5(id), 16, 15))::BIGINT) AS id_sum_1,
     list(id ORDER BY activation DESC, importance DESC, id) AS ids,
     list(source ORDER BY activation DESC, importance DESC, id) AS spans
   FROM m GROUP BY component HAVING count(*) >= 2),
-notes AS (SELECT {sql_id('note_type', 'anchor', "array_to_string(ids, chr(10))")} AS id,
+notes AS (SELECT {sql_id('note_type', 'anchor', 'atom_count', 'id_sum_0', 'id_sum_1')} AS id,
     CASE note_type WHEN 'concept_note' THEN 'Concept note' WHEN 'decision_note' THEN 'Decision note'
       ELSE 'Friction note' END || ': ' || anchor AS title,
     note_type,
@@ -187,29 +190,40 @@ notes AS (SELECT {sql_id('note_type', 'anchor', "array_to_string(ids, chr(10))")
     "digest_notes",
     f"""WITH RECURSIVE {DOC_CTES}, {_NOTES}
 SELECT id, title, note_type, summary, array_to_string(key_points, '|') AS key_points,
-  array_to_string(open_questions, '|') AS open_questions, array_to_string(tags, ',') AS tags,
-  array_to_string(ids, ',') AS source_atom_ids, array_to_string(spans, ',') AS source_spans, activation, atom_count FROM notes""",
+  array_to_string(open_questions, '|') AS open_questions, activation, atom_count FROM notes""",
 )
 def digest_notes(spark, sf_dir):
-    notes, _ = nt.build_notes(document_atoms(spark, sf_dir))
-    joined = {
-        "key_points": "|", "open_questions": "|", "tags": ",", "source_atom_ids": ",", "source_spans": ",",
-    }
+    notes = nt.build_notes(document_atoms(spark, sf_dir)).headers
     return notes.select(
         "id", "title", "note_type", "summary",
-        *[F.array_join(name, mark).alias(name) for name, mark in joined.items()],
+        F.array_join("key_points", "|").alias("key_points"), F.array_join("open_questions", "|").alias("open_questions"),
         "activation", "atom_count",
     )
 
 
 @query(
     "note_sources",
-    f"""WITH RECURSIVE {DOC_CTES}, {_NOTES}, x AS (SELECT id AS note_id, unnest(ids) AS atom_id FROM notes)
-SELECT note_id, atom_id, source FROM x JOIN doc_atoms a ON a.id = x.atom_id""",
+    f"""WITH RECURSIVE {DOC_CTES}, {_NOTES}, x AS (SELECT id AS note_id, unnest(ids) AS atom_id, unnest(range(1, len(ids) + 1)) AS rank FROM notes)
+SELECT note_id, rank, atom_id, source FROM x JOIN doc_atoms a ON a.id = x.atom_id""",
 )
 def note_sources(spark, sf_dir):
-    _, sources = nt.build_notes(document_atoms(spark, sf_dir))
-    return sources.select("note_id", "atom_id", "source")
+    return nt.build_notes(document_atoms(spark, sf_dir)).sources.select("note_id", "rank", "atom_id", "source")
+
+
+@query(
+    "note_spans",
+    f"""WITH RECURSIVE {DOC_CTES}, {_NOTES},
+x AS (SELECT id AS note_id, unnest(spans) AS source, unnest(range(1, len(spans) + 1)) AS i FROM notes),
+firsts AS (SELECT note_id, source, min(i) AS i FROM x GROUP BY 1, 2)
+SELECT note_id, row_number() OVER (PARTITION BY note_id ORDER BY i) AS rank, source FROM firsts""",
+)
+def note_spans(spark, sf_dir):
+    return nt.build_notes(document_atoms(spark, sf_dir)).spans.select("note_id", "rank", "source")
+
+
+@query("note_tags", f"WITH RECURSIVE {DOC_CTES}, {_NOTES} SELECT id AS note_id, unnest(tags) AS tag FROM notes")
+def note_tags(spark, sf_dir):
+    return nt.build_notes(document_atoms(spark, sf_dir)).tags.select("note_id", "tag")
 
 
 @query(
@@ -217,7 +231,7 @@ def note_sources(spark, sf_dir):
     f"WITH RECURSIVE {DOC_CTES}, {_NOTES} SELECT id, title, activation FROM notes ORDER BY activation DESC, title LIMIT 50",
 )
 def notes_listing(spark, sf_dir):
-    notes, _ = nt.build_notes(document_atoms(spark, sf_dir))
+    notes = nt.build_notes(document_atoms(spark, sf_dir)).headers
     return nt.list_notes(notes, 50).select("id", "title", "activation")
 
 
@@ -247,33 +261,36 @@ _PATH = (
 )
 
 
-@query("note_documents", f"WITH RECURSIVE {DOC_CTES}, {_NOTES} SELECT id, {_PATH} AS path, {_DOCUMENT} AS content FROM notes")
+@query(
+    "note_documents",
+    f"""WITH RECURSIVE {DOC_CTES}, {_NOTES}, d AS (SELECT id, {_PATH} AS path, string_split({_DOCUMENT}, chr(10)) AS lines FROM notes)
+SELECT id, path, unnest(range(1, len(lines))) AS line_no, unnest(lines[1 : -2]) AS line FROM d""",
+)
 def note_documents(spark, sf_dir):
-    notes, _ = nt.build_notes(document_atoms(spark, sf_dir))
-    return nt.note_documents(notes)
+    return nt.note_documents(nt.build_notes(document_atoms(spark, sf_dir)))
 
 
 _EXPORTED = "2024-02-01 00:00:00"
 
 
 def _manifest(spark, sf_dir):
-    notes, sources = nt.build_notes(document_atoms(spark, sf_dir))
+    tables = nt.build_notes(document_atoms(spark, sf_dir))
     exported = F.lit(_EXPORTED).cast("timestamp")
-    return nt.note_manifest(notes, nt.note_documents(notes), exported), sources
+    return nt.note_manifest(tables.headers, nt.note_documents(tables), exported), tables.sources
 
 
 @query(
     "note_manifest",
     f"""WITH RECURSIVE {DOC_CTES}, {_NOTES}
-SELECT id, title, note_type AS type, activation, {_PATH} AS path, array_to_string(ids, ',') AS source_atom_ids,
-  strlen({_DOCUMENT})::BIGINT AS size FROM notes""",
+SELECT id, title, note_type AS type, activation, {_PATH} AS path, atom_count, strlen({_DOCUMENT})::BIGINT AS size FROM notes""",
 )
 def note_manifest(spark, sf_dir):
     manifest, _ = _manifest(spark, sf_dir)
-    return manifest.drop("modified").withColumn("source_atom_ids", F.array_join("source_atom_ids", ","))
+    return manifest.drop("modified")
 
 
-# Current listing: notes whose id starts with 0-3 grew, 4-7 are newer, 8-9 vanished.
+# The documents are written and listed. Then notes whose id starts with 0-3 grow, 4-7
+# become newer and 8-9 vanish; the others stay as they were written.
 @query(
     "manifest_sync",
     f"""WITH RECURSIVE {DOC_CTES}, {_NOTES}, touched AS (SELECT * FROM notes WHERE left(id, 1) < '8')
@@ -281,14 +298,17 @@ SELECT 'note' AS target, id FROM touched
 UNION ALL SELECT DISTINCT 'atom', unnest(ids) FROM touched""",
 )
 def manifest_sync(spark, sf_dir):
-    manifest, sources = _manifest(spark, sf_dir)
+    tables = nt.build_notes(document_atoms(spark, sf_dir))
+    documents = materialise(nt.note_documents(tables))
+    folder = f"{shared_dir(spark)}/notes-{uuid.uuid4().hex}"
+    nt.write_documents(documents, folder)
+    written = materialise(nt.written_documents(read_listing(spark, [folder])))
+    manifest = nt.note_manifest(tables.headers, documents, written=written)
+    listing = manifest.select("id", "path", "size", "modified").where(~F.left("id", F.lit(1)).isin("8", "9"))
     head = F.left("id", F.lit(1))
-    listing = manifest.where(~head.isin("8", "9")).select(
-        "path",
-        F.when(head < "4", F.col("size") + 1).otherwise(F.col("size")).alias("size"),
-        F.when((head >= "4") & (head < "8"), F.col("modified") + F.expr("interval 1 hour")).otherwise(F.col("modified")).alias("modified"),
-    )
-    note_ids, atom_ids = manifest_diff(manifest, listing, sources)
+    later = F.when((head >= "4") & (head < "8"), F.col("modified") + F.expr("interval 1 hour")).otherwise(F.col("modified"))
+    edited = listing.select("path", (F.col("size") + F.when(head < "4", 1).otherwise(0)).alias("size"), later.alias("modified"))
+    note_ids, atom_ids = manifest_diff(manifest, edited, tables.sources)
     return note_ids.select(F.lit("note").alias("target"), "id").unionByName(
         atom_ids.select(F.lit("atom").alias("target"), "id")
     )
@@ -303,8 +323,7 @@ dang AS (SELECT note_id, atom_id FROM src WHERE atom_id NOT IN (SELECT id FROM d
 @query("dangling_sources", f"WITH RECURSIVE {DOC_CTES}, {_NOTE_CHECK} SELECT * FROM dang")
 def dangling_sources_query(spark, sf_dir):
     atoms = document_atoms(spark, sf_dir)
-    _, sources = nt.build_notes(atoms)
-    return dangling_sources(sources, atoms.where(~(F.col("doc_id") % 7 == 3)))
+    return dangling_sources(nt.build_notes(atoms).sources, atoms.where(~(F.col("doc_id") % 7 == 3)))
 
 
 @query(
@@ -323,14 +342,16 @@ SELECT atoms_count, notes_count, notes_with_sources, round(notes_with_sources /
 )
 def notes_validation(spark, sf_dir):
     atoms = document_atoms(spark, sf_dir)
-    notes, sources = nt.build_notes(atoms)
+    tables = nt.build_notes(atoms)
+    notes, sources = tables.headers, tables.sources
     return validate_notes(notes, sources, atoms.where(~(F.col("doc_id") % 7 == 3)))
 
 
 @query("combined_verdict", f"WITH RECURSIVE {DOC_CTES}, {_NOTE_CHECK} SELECT CASE WHEN (SELECT count(*) FROM dang) > 0 THEN 'fail' ELSE 'pass' END AS verdict, 2::BIGINT AS sections")
 def combined_verdict_query(spark, sf_dir):
     atoms = document_atoms(spark, sf_dir)
-    notes, sources = nt.build_notes(atoms)
+    tables = nt.build_notes(atoms)
+    notes, sources = tables.headers, tables.sources
     whole = validate_notes(notes, sources, atoms)
     partial = validate_notes(notes, sources, atoms.where(~(F.col("doc_id") % 7 == 3)))
     return combined_verdict(whole, partial)

@@ -1,15 +1,16 @@
 """Notes: one per tag component, plus documents and the export manifest.
 
-A component may hold a third of all atoms, so a note is split in two frames:
-a bounded header per component (every field a combinable aggregate or a
-pre-pruned top-k) and a long (note, atom) source table. Components up to
-``inline_limit`` atoms also carry their ordered source arrays in the header;
-beyond that the arrays stay null, the source table is the whole list, and the
-id hashes order-independent sums instead of the id list.
+A component may hold a third of all atoms, so a note of any size has one shape: a
+bounded header (every field a combinable aggregate or a pre-pruned top-k), and long
+tables of its atoms and source labels in order of activation, and of its tags. Its id
+digests the set of its atoms, in any order. A document is a long table of lines.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +18,17 @@ from thoughtloom.functions import scoring, text
 from thoughtloom.functions.rounding import round_half_even
 from thoughtloom.functions.rules import DECISION_KINDS, FRICTION_KINDS, FRICTION_TAGS, NOTE_TITLES
 from thoughtloom.operators.components import component_anchor, tag_components, with_component
+from thoughtloom.operators.ranking import ranked
 from thoughtloom.session import materialise
 
+# Wording of exported notes, which must match what readers of the export expect.
 NOTES_FOLDER = "Digested Notes"
+NO_SUMMARY = "No stable summary yet."
+FIRST_QUESTION = " Open question: "
+HEADINGS = {
+    "summary": "## Summary", "points": "## Key Points", "questions": "## Open Questions",
+    "sources": "## Sources", "atoms": "### Source Atoms", "spans": "### Source Spans",
+}
 
 
 def note_type(kind: Column, tags: Column) -> Column:
@@ -31,12 +40,6 @@ def note_type(kind: Column, tags: Column) -> Column:
     )
 
 
-def first_k_distinct(items: Column, k: int) -> Column:
-    """First ``k`` distinct stripped, non-empty strings of an array, in order."""
-    stripped = F.filter(F.transform(items, text.strip), lambda item: item != "")
-    return F.slice(F.array_distinct(stripped), F.lit(1), F.lit(k))
-
-
 def _atom_order() -> Column:
     return F.struct((-F.col("activation")).alias("a"), (-F.col("importance")).alias("i"), F.col("id").alias("id"))
 
@@ -59,20 +62,52 @@ def _first_summaries(members: DataFrame, k: int, name: str) -> DataFrame:
     )
 
 
+def _set_digest() -> list[Column]:
+    """Sums of two 60-bit parts of each atom id's digest: the same for a set in any order."""
+    part = lambda start: F.conv(F.substring(F.md5(F.col("id").cast("binary")), start, 15), 16, 10)
+    return [F.sum(part(1 + 15 * k).cast("decimal(38,0)")).alias(f"id_sum_{k}") for k in (0, 1)]
+
+
+@dataclass(frozen=True)
+class NoteTables:
+    """Notes of one build. ``headers`` has a row a note; the long tables are made when they are asked for."""
+
+    headers: DataFrame
+    members: DataFrame
+
+    def _of_notes(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.headers.select("component", F.col("id").alias("note_id")), "component").drop("component")
+
+    @cached_property
+    def sources(self) -> DataFrame:
+        """(note_id, rank, atom_id, source, activation, importance): all atoms of all notes, warmest first."""
+        order = [F.desc("activation"), F.desc("importance"), F.asc("atom_id")]
+        rows = self.members.select("component", F.col("id").alias("atom_id"), "source", "activation", "importance")
+        return ranked(self._of_notes(rows), ["note_id"], order)
+
+    @cached_property
+    def spans(self) -> DataFrame:
+        """(note_id, rank, source): distinct source labels in the order of their first atoms."""
+        labels = self.members.select("component", text.strip(F.col("source")).alias("source"), _atom_order().alias("place"))
+        firsts = labels.where(F.col("source") != "").groupBy("component", "source").agg(F.min("place").alias("place"))
+        order = [F.asc("place.a"), F.asc("place.i"), F.asc("place.id"), F.asc("source")]
+        return ranked(self._of_notes(firsts), ["note_id"], order).drop("place")
+
+    @cached_property
+    def tags(self) -> DataFrame:
+        """(note_id, tag): distinct tags of each note."""
+        return self._of_notes(self.members.select("component", F.explode("tags").alias("tag")).distinct())
+
+
 def build_notes(
-    atoms: DataFrame,
-    *,
-    min_atoms: int = 2,
-    max_points: int = 5,
-    inline_limit: int = 10_000,
-    components: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """(notes, note_sources) of every component with at least ``min_atoms`` atoms."""
-    # Seven branches read the members, so their labels are computed only once.
+    atoms: DataFrame, *, min_atoms: int = 2, max_points: int = 5, components: DataFrame | None = None
+) -> NoteTables:
+    """Notes of every component with at least ``min_atoms`` atoms."""
+    # Several branches read the members, so their labels are computed only once.
     narrow = materialise(atoms.select("id", "source", "summary", "kind", "tags", "importance", "activation"))
     if components is None:
         components = tag_components(narrow)
-    members = with_component(narrow, components)
+    members = materialise(with_component(narrow, components))
     typed = members.withColumn("atom_type", note_type(F.col("kind"), F.col("tags")))
     headers = (
         typed.groupBy("component")
@@ -81,8 +116,7 @@ def build_notes(
             F.bool_or(F.col("atom_type") == "friction_note").alias("any_friction"),
             F.bool_or(F.col("atom_type") == "concept_note").alias("any_concept"),
             F.sum(F.col("activation").cast("decimal(24,12)")).alias("activation_sum"),
-            F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("id_sum"),
-            F.bit_xor(F.xxhash64("id")).alias("id_xor"),
+            *_set_digest(),
         )
         .where(F.col("atom_count") >= min_atoms)
         .join(component_anchor(narrow, components).select("component", "anchor"), "component")
@@ -97,45 +131,14 @@ def build_notes(
             round_half_even(F.col("activation_sum").cast("double") / F.col("atom_count"), 3),
         )
     )
-    small = headers.where(F.col("atom_count") <= inline_limit).select("component")
-    inlined = (
-        members.join(small, "component", "left_semi")
-        .groupBy("component")
-        .agg(F.sort_array(F.collect_list(F.struct(_atom_order().alias("place"), "source"))).alias("ordered"))
-        .select(
-            "component",
-            F.col("ordered.place.id").alias("source_atom_ids"),
-            first_k_distinct(F.col("ordered.source"), 2147483647).alias("source_spans"),
-        )
-    )
-    tags = (
-        members.select("component", F.explode("tags").alias("tag"))
-        .distinct()
-        .groupBy("component")
-        .agg(F.sort_array(F.collect_list("tag")).alias("tags"))
-    )
     title_prefix = F.coalesce(
         F.element_at(F.create_map(*[F.lit(x) for pair in NOTE_TITLES.items() for x in pair]), F.col("note_type")),
         F.lit("Digested note"),
     )
-    points, questions = F.col("key_points"), F.col("open_questions")
     empty = F.array().cast("array<string>")
-    identity = F.when(
-        F.col("source_atom_ids").isNotNull(),
-        text.short_id(F.col("note_type"), F.col("anchor"), F.array_join("source_atom_ids", "\n")),
-    ).otherwise(
-        text.short_id(
-            F.col("note_type"),
-            F.col("anchor"),
-            F.col("atom_count").cast("string"),
-            F.col("id_sum").cast("string"),
-            F.col("id_xor").cast("string"),
-        )
-    )
+    counted = [F.col(c).cast("string") for c in ("atom_count", "id_sum_0", "id_sum_1")]
     notes = (
-        headers.join(inlined, "component", "left")
-        .join(tags, "component", "left")
-        .join(_first_summaries(members, max_points, "key_points"), "component", "left")
+        headers.join(_first_summaries(members, max_points, "key_points"), "component", "left")
         .join(
             _first_summaries(members.where(F.col("kind") == "question"), max_points, "open_questions"),
             "component",
@@ -143,41 +146,34 @@ def build_notes(
         )
         .withColumns(
             {
-                "key_points": F.coalesce(points, empty),
-                "open_questions": F.coalesce(questions, empty),
-                "tags": F.coalesce("tags", empty),
+                "key_points": F.coalesce("key_points", empty),
+                "open_questions": F.coalesce("open_questions", empty),
             }
         )
         .select(
-            identity.alias("id"),
+            text.short_id(F.col("note_type"), F.col("anchor"), *counted).alias("id"),
             F.concat(title_prefix, F.lit(": "), F.col("anchor")).alias("title"),
             "note_type",
-            F.when(F.size("key_points") == 0, F.lit("No stable summary yet."))
+            F.when(F.size("key_points") == 0, F.lit(NO_SUMMARY))
             .otherwise(
                 F.concat(
                     F.array_join(F.slice("key_points", 1, 3), "; "),
                     F.when(
                         F.size("open_questions") > 0,
-                        F.concat(F.lit(" Open question: "), F.element_at("open_questions", 1)),
+                        F.concat(F.lit(FIRST_QUESTION), F.element_at("open_questions", 1)),
                     ).otherwise(F.lit("")),
                 )
             )
             .alias("summary"),
             "key_points",
             "open_questions",
-            "tags",
-            "source_atom_ids",
-            "source_spans",
             "activation",
             "atom_count",
             "anchor",
             "component",
         )
     )
-    sources = members.join(notes.select(F.col("id").alias("note_id"), "component"), "component").select(
-        "note_id", F.col("id").alias("atom_id"), "source", "activation", "importance"
-    )
-    return notes, sources
+    return NoteTables(materialise(notes), members)
 
 
 def list_notes(notes: DataFrame, limit: int | None = None) -> DataFrame:
@@ -193,69 +189,105 @@ def _escaped(item: Column) -> Column:
     return F.replace(F.replace(item, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
 
 
-def _block(items: Column, render, empty: str) -> Column:
-    lines = F.array_join(F.transform(items, render), "\n")
-    return F.when(F.size(items) > 0, lines).otherwise(F.lit(empty))
-
-
-def note_documents(notes: DataFrame) -> DataFrame:
-    """(id, path, content): one Markdown document with front matter per note."""
-
-    def quoted(item: Column) -> Column:
-        return F.concat(F.lit('  - "'), _escaped(item), F.lit('"'))
-
-    def bullet(item: Column) -> Column:
-        return F.concat(F.lit("- "), item)
-
-    def code(item: Column) -> Column:
-        return F.concat(F.lit("- `"), item, F.lit("`"))
-
-    questions = F.when(
-        F.size("open_questions") > 0,
-        F.concat(F.lit("\n\n## Open Questions\n\n"), _block(F.col("open_questions"), bullet, "- (none)")),
-    ).otherwise(F.lit(""))
-    content = F.concat(
-        F.lit('---\nnote_id: "'),
-        _escaped(F.col("id")),
-        F.lit('"\ntype: "'),
-        _escaped(F.col("note_type")),
-        F.lit('"\nstate: "'),
-        scoring.activation_state(F.col("activation"), scoring.NOTE_STATE),
-        F.lit('"\nactivation: '),
-        F.format_string("%.2f", round_half_even(F.col("activation"), 2)),
-        F.lit("\ntags:\n"),
-        _block(F.col("tags"), quoted, "  []"),
-        F.lit("\nsource_atoms:\n"),
-        _block(F.col("source_atom_ids"), quoted, "  []"),
-        F.lit("\nsource_spans:\n"),
-        _block(F.col("source_spans"), quoted, "  []"),
-        F.lit("\n---\n\n# "),
-        F.col("title"),
-        F.lit("\n\n## Summary\n\n"),
-        F.col("summary"),
-        F.lit("\n\n## Key Points\n\n"),
-        _block(F.col("key_points"), bullet, "- (none)"),
-        questions,
-        F.lit("\n\n## Sources\n\n### Source Atoms\n\n"),
-        _block(F.col("source_atom_ids"), code, "- `(none)`"),
-        F.lit("\n\n### Source Spans\n\n"),
-        _block(F.col("source_spans"), code, "- `(none)`"),
-        F.lit("\n"),
-    )
+def _quoted(item: Column) -> Column:
+    return F.concat(F.lit('  - "'), _escaped(item), F.lit('"'))
+
+
+def _code(item: Column) -> Column:
+    return F.concat(F.lit("- `"), item, F.lit("`"))
+
+
+def _bullets(items: Column) -> Column:
+    none = F.array(F.lit("- (none)"))
+    return F.when(F.size(items) > 0, F.transform(items, lambda x: F.concat(F.lit("- "), x))).otherwise(none)
+
+
+def _fixed_lines() -> dict[int, Column]:
+    """Lines of a document's header and body by section; the long tables fill the sections between."""
+    field = lambda name, value: F.concat(F.lit(f'{name}: "'), value, F.lit('"'))
+    head = F.array(
+        F.lit("---"), field("note_id", _escaped(F.col("id"))), field("type", _escaped(F.col("note_type"))),
+        field("state", scoring.activation_state(F.col("activation"), scoring.NOTE_STATE)),
+        F.concat(F.lit("activation: "), F.format_string("%.2f", round_half_even(F.col("activation"), 2))), F.lit("tags:"),
+    )
+    literal = lambda *lines: F.array(*[F.lit(x) for x in lines])
+    questions = F.concat(literal("", HEADINGS["questions"], ""), _bullets(F.col("open_questions")))
+    body = F.concat(
+        F.array(F.lit("---"), F.lit(""), F.concat(F.lit("# "), F.col("title")), F.lit(""), F.lit(HEADINGS["summary"]), F.lit(""), F.col("summary")),
+        literal("", HEADINGS["points"], ""), _bullets(F.col("key_points")),
+        F.when(F.size("open_questions") > 0, questions).otherwise(F.array().cast("array<string>")),
+        literal("", HEADINGS["sources"], "", HEADINGS["atoms"], ""),
+    )
+    return {1: head, 3: literal("source_atoms:"), 5: literal("source_spans:"), 7: body, 9: literal("", HEADINGS["spans"], "")}
+
+
+def note_documents(tables: NoteTables) -> DataFrame:
+    """(id, path, line_no, line): the lines of each note's Markdown document, front matter first.
+
+    A document is its lines, each ended by a line feed. Lines of atoms, labels and tags
+    come from the long tables, so a document may have any length.
+    """
+    notes = tables.headers
+
+    def long(rows: DataFrame, section: int, place: Column, line: Column) -> DataFrame:
+        return rows.select(F.col("note_id").alias("id"), F.lit(section).alias("section"), place.alias("place"), line.alias("line"))
+
+    def without(rows: DataFrame, section: int, line: str) -> DataFrame:
+        """A line for each note that ``rows`` has nothing of."""
+        left = notes.select(F.col("id").alias("note_id")).join(rows.select("note_id").distinct(), "note_id", "left_anti")
+        return long(left, section, F.struct(F.lit(0).cast("long"), F.lit("")), F.lit(line))
+
+    ordered = F.struct(F.col("rank"), F.lit(""))
+    sections = F.array(*[F.struct(F.lit(k).alias("section"), lines.alias("lines")) for k, lines in _fixed_lines().items()])
+    fixed = notes.select("id", F.explode(sections).alias("s")).select("id", "s.section", F.posexplode("s.lines").alias("n", "line"))
+    fixed = fixed.select("id", "section", F.struct(F.col("n").cast("long"), F.lit("")).alias("place"), "line")
+    atom, source, tag = F.col("atom_id"), F.col("source"), F.col("tag")
+    parts = [
+        long(tables.tags, 2, F.struct(F.lit(0).cast("long"), tag), _quoted(tag)),
+        long(tables.sources, 4, ordered, _quoted(atom)),
+        long(tables.spans, 6, ordered, _quoted(source)),
+        long(tables.sources, 8, ordered, _code(atom)),
+        long(tables.spans, 10, ordered, _code(source)),
+        without(tables.tags, 2, "  []"), without(tables.spans, 6, "  []"), without(tables.spans, 10, "- `(none)`"),
+    ]
+    lines = fixed
+    for part in parts:
+        lines = lines.union(part)
+    numbered = ranked(lines, ["id"], [F.asc("section"), F.asc("place")], "line_no")
     path = F.concat(F.lit(NOTES_FOLDER + "/"), text.note_file_name(F.col("title"), F.col("id")))
-    return notes.select("id", path.alias("path"), content.alias("content"))
-
-
-def note_manifest(notes: DataFrame, documents: DataFrame, exported_at: Column) -> DataFrame:
-    """One manifest row per exported note; size is that of the document."""
-    sized = documents.select("id", "path", F.octet_length("content").cast("bigint").alias("size"))
-    return notes.join(sized, "id").select(
-        "id",
-        "title",
-        F.col("note_type").alias("type"),
-        "activation",
-        "path",
-        "source_atom_ids",
-        exported_at.alias("modified"),
-        "size",
+    return numbered.join(notes.select("id", path.alias("path")), "id").select("id", "path", "line_no", "line")
+
+
+def write_documents(documents: DataFrame, folder: str, partitions: int | None = None) -> None:
+    """Write documents as text: a folder per note path, whose files in name order are the document.
+
+    Lines are dealt by range of (path, line), so a note of many lines is several files.
+    """
+    keys = [F.asc("path"), F.asc("line_no")]
+    dealt = documents.repartitionByRange(partitions, *keys) if partitions else documents.repartitionByRange(*keys)
+    dealt.sortWithinPartitions(*keys).select("path", "line").write.mode("overwrite").partitionBy("path").text(folder)
+
+
+def written_documents(listing: DataFrame) -> DataFrame:
+    """(path, size, modified) of exported documents from the listing of their folder."""
+    encoded = F.regexp_extract("path", r"/path=([^/]+)/[^/]+$", 1)
+    # Folder names hold the path percent-encoded, and a listing may encode it once more.
+    decoded = F.url_decode(F.replace(F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B"))), F.lit("+"), F.lit("%2B")))
+    files = listing.select(decoded.alias("path"), "size", "modified").where(F.col("path") != "")
+    return files.groupBy("path").agg(F.sum("size").alias("size"), F.max("modified").alias("modified"))
+
+
+def note_manifest(notes: DataFrame, documents: DataFrame, exported_at: Column | None = None, written: DataFrame | None = None) -> DataFrame:
+    """One manifest row per exported note; its sources are the long source table.
+
+    Sizes and times are those of the ``written`` documents (of ``written_documents``), so
+    that a later listing meets them; without, the size of the lines and ``exported_at``.
+    """
+    sizes = documents.groupBy("id", "path").agg(F.sum(F.octet_length("line") + 1).cast("bigint").alias("size"))
+    if written is not None:
+        sizes = sizes.drop("size").join(written, "path")
+    else:
+        sizes = sizes.withColumn("modified", exported_at)
+    return notes.join(sizes, "id").select(
+        "id", "title", F.col("note_type").alias("type"), "activation", "path", "atom_count", "modified", "size"
     )

@@ -17,11 +17,11 @@ from thoughtloom.operators import activation, edges, feedback, queue, retrieval
 from thoughtloom.operators.dedupe import DEFAULT_THRESHOLD, near_duplicate_filter
 from thoughtloom.operators.extraction import atoms_with_policy, extract, outcomes
 from thoughtloom.operators.fragments import cap_per_group, clean_fragments, rules_atoms, table_counts, upsert
-from thoughtloom.operators.notes import build_notes, note_documents, note_manifest
+from thoughtloom.operators.notes import NoteTables, build_notes, note_documents, note_manifest, write_documents, written_documents
 from thoughtloom.operators.suggestions import extract_suggestions
 from thoughtloom.schemas import ATOM
 from thoughtloom.session import materialise
-from thoughtloom.sources.listings import manifest_diff
+from thoughtloom.sources.listings import manifest_diff, read_listing
 from thoughtloom.sources.transcripts import split_transcripts, transcript_order
 
 _ATOM_COLUMNS = [part.split()[0] for part in ATOM.split(", ")]
@@ -36,7 +36,12 @@ class Memory:
     edge_counts: DataFrame | None = None
     feedback_edges: DataFrame | None = None
     notes: DataFrame | None = None
-    note_sources: DataFrame | None = None
+    note_tables: NoteTables | None = None
+
+    @property
+    def note_sources(self) -> DataFrame | None:
+        """All atoms of all notes, in order."""
+        return self.note_tables.sources if self.note_tables else None
 
 
 def _label(fragments: DataFrame, extractor: Extractor | None, on_reject: str, rules: Mapping) -> DataFrame:
@@ -109,8 +114,8 @@ def import_transcripts(
 
 def digest(memory: Memory, *, min_atoms: int = 2, max_points: int = 5) -> Memory:
     """Rebuild the notes from the atoms (replaces the note tables)."""
-    notes, sources = build_notes(memory.atoms, min_atoms=min_atoms, max_points=max_points)
-    return replace(memory, notes=notes, note_sources=sources)
+    tables = build_notes(memory.atoms, min_atoms=min_atoms, max_points=max_points)
+    return replace(memory, notes=tables.headers, note_tables=tables)
 
 
 def refresh(memory: Memory, *, min_shared_tags: int = 1, min_atoms: int = 2, max_points: int = 5) -> Memory:
@@ -129,10 +134,16 @@ def refresh_summary(before: Memory, after: Memory) -> DataFrame:
     return counts.unionByName(total.select(F.lit("edges").alias("table_name"), "n"))
 
 
-def export_notes(memory: Memory, exported_at: Column) -> tuple[DataFrame, DataFrame]:
-    """(documents, manifest) of the current notes."""
-    documents = note_documents(memory.notes)
-    return documents, note_manifest(memory.notes, documents, exported_at)
+def export_notes(memory: Memory, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(documents, manifest) of the current notes, written below ``folder``.
+
+    The documents are written, then listed, so the manifest holds the sizes and times
+    that a later listing finds; ``sync_notes`` touches nothing until one changes.
+    """
+    documents = materialise(note_documents(memory.note_tables))
+    write_documents(documents, folder)
+    written = written_documents(read_listing(documents.sparkSession, [folder]))
+    return documents, materialise(note_manifest(memory.notes, documents, written=written))
 
 
 def export_graph(memory: Memory, limit: int = 160) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -142,8 +153,9 @@ def export_graph(memory: Memory, limit: int = 160) -> tuple[DataFrame, DataFrame
     return nodes, listed, edges.graph_stats(nodes, listed)
 
 
-def sync_notes(memory: Memory, manifest: DataFrame, listing: DataFrame, amount: float = activation.EDIT_TOUCH) -> Memory:
-    """Warm up the notes edited since the export, and their atoms."""
+def sync_notes(memory: Memory, manifest: DataFrame, folder: str, amount: float = activation.EDIT_TOUCH) -> Memory:
+    """Warm up the notes edited below ``folder`` since the export, and their atoms."""
+    listing = written_documents(read_listing(manifest.sparkSession, [folder]))
     note_ids, atom_ids = manifest_diff(manifest, listing, memory.note_sources)
     return replace(
         memory,

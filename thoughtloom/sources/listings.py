@@ -51,11 +51,11 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def manifest_diff(manifest: DataFrame, listing: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def manifest_diff(manifest: DataFrame, listing: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(note ids, distinct atom ids) touched by edits since the manifest was written.
 
-    ``notes`` is the long (note_id, atom_id) table or has ``source_atom_ids``.
-    Files that vanished and notes no longer known are skipped.
+    ``sources`` is the long (note_id, atom_id) table. Files that vanished and notes no
+    longer known are skipped.
     """
     current = listing.select("path", F.col("size").alias("now_size"), F.col("modified").alias("now_modified"))
     changed = (
@@ -63,12 +63,7 @@ def manifest_diff(manifest: DataFrame, listing: DataFrame, notes: DataFrame) ->
         .where((F.col("size") != F.col("now_size")) | (F.col("modified") != F.col("now_modified")))
         .select("id")
     )
-    if "note_id" in notes.columns:
-        sources = notes.select(F.col("note_id").alias("id"), "atom_id")
-        known = sources.select("id").distinct()
-    else:
-        known = notes.select("id")
-        sources = notes.select("id", F.explode("source_atom_ids").alias("atom_id"))
-    touched_notes = changed.join(known, "id", "left_semi")
+    sources = sources.select(F.col("note_id").alias("id"), "atom_id")
+    touched_notes = changed.join(sources, "id", "left_semi")
     touched_atoms = sources.join(touched_notes, "id", "left_semi").select(F.col("atom_id").alias("id")).distinct()
     return touched_notes, touched_atoms
