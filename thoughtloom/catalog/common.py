@@ -244,3 +244,13 @@ DOC_CTES = _atom_ctes(
     "CASE WHEN doc_id % 5 = 0 THEN ['uncategorized'] "
     "WHEN doc_id % 2 = 1 THEN ['a' || (doc_id % 397), 'b' || (doc_id * 31 % 409)] ELSE ['a' || (doc_id % 397)] END",
 )
+
+# Distinct token sets of the documents, and the similar pairs among them.
+DEDUPE_CTES = f"""n AS (SELECT doc_id, {sql_normal('text')} AS t FROM documents),
+f AS (SELECT doc_id, substring(sha1(t), 1, 16) AS fp, list_sort({sql_tokens('t')}) AS toks FROM n),
+reps AS (SELECT min(doc_id) AS doc_id, fp, any_value(toks) AS toks FROM f GROUP BY fp),
+sets AS (SELECT min(doc_id) AS doc_id, toks, len(toks) AS n FROM reps WHERE len(toks) > 0 GROUP BY toks),
+u AS (SELECT doc_id, n, unnest(toks) AS tok FROM sets),
+p AS (SELECT a.doc_id AS first_rid, b.doc_id AS later_rid FROM u a JOIN u b
+  ON a.tok = b.tok AND a.doc_id < b.doc_id AND least(a.n, b.n) * 100 >= 92 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) * 100 >= 92 * (a.n + b.n - count(*)))"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from thoughtloom.catalog.common import (
     CONV_CTES,
+    DEDUPE_CTES,
     DOC_CTES,
     conversation_atoms,
     conversation_columns,
@@ -430,6 +431,32 @@ def stream_queue(spark, sf_dir):
     return queue_stream.read_queue(spark, f"{base}/table").select("id", "status", "attempts")
 
 
+# Documents arrive in three deliveries, each a micro-batch of a stream started anew; what
+# is queued is what the duplicate filter keeps of the whole table.
+@query(
+    "queue_tick",
+    f"""WITH {DEDUPE_CTES},
+kept AS (SELECT doc_id FROM reps WHERE len(toks) = 0
+  UNION ALL SELECT doc_id FROM sets WHERE doc_id NOT IN (SELECT later_rid FROM p))
+SELECT doc_id::VARCHAR AS id, 'pending' AS status, 0 AS attempts FROM kept""",
+)
+def queue_tick(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(
+        F.col("doc_id").cast("string").alias("id"), F.col("source").alias("source_file"), F.col("lang").alias("source"),
+        F.lit("user").alias("role"), "text", F.lit(None).cast("string").alias("timestamp"), F.col("doc_id").alias("scan_order"),
+    )
+    base = f"{shared_dir(spark)}/tick-{uuid.uuid4().hex}"
+    last = docs.agg(F.max("doc_id")).first()[0] or 0
+    for k in range(3):
+        part = (F.col("scan_order") * 3 / (last + 1)).cast("int")
+        rows.where(part == k).write.parquet(f"{base}/in/delivery={k}")
+        arrived = spark.readStream.schema(rows.schema).parquet(f"{base}/in/*")
+        stream = queue_stream.start_queue(arrived, f"{base}/table", f"{base}/checkpoint", index=f"{base}/index")
+        stream.awaitTermination()
+    return queue_stream.read_queue(spark, f"{base}/table").select("id", "status", "attempts")
+
+
 @query("queue_next", f"WITH {_QUEUE} SELECT id, created_at::BIGINT AS created_at FROM que WHERE status = 'pending' ORDER BY created_at, id LIMIT 10")
 def queue_next(spark, sf_dir):
     return qu.queue_next(_queue(spark, sf_dir)).select("id", F.unix_timestamp("created_at").alias("created_at"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from thoughtloom.catalog.common import (
     CONV_CTES,
+    DEDUPE_CTES,
     DOC_CTES,
     conversation_atoms,
     conversation_fragments,
@@ -106,17 +107,7 @@ def disposable_flags(spark, sf_dir):
     )
 
 
-_DEDUPE_CTES = f"""n AS (SELECT doc_id, {sql_normal('text')} AS t FROM documents),
-f AS (SELECT doc_id, substring(sha1(t), 1, 16) AS fp, list_sort({sql_tokens('t')}) AS toks FROM n),
-reps AS (SELECT min(doc_id) AS doc_id, fp, any_value(toks) AS toks FROM f GROUP BY fp),
-sets AS (SELECT min(doc_id) AS doc_id, toks, len(toks) AS n FROM reps WHERE len(toks) > 0 GROUP BY toks),
-u AS (SELECT doc_id, n, unnest(toks) AS tok FROM sets),
-p AS (SELECT a.doc_id AS first_rid, b.doc_id AS later_rid FROM u a JOIN u b
-  ON a.tok = b.tok AND a.doc_id < b.doc_id AND least(a.n, b.n) * 100 >= 92 * greatest(a.n, b.n)
-  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) * 100 >= 92 * (a.n + b.n - count(*)))"""
-
-
-@query("near_duplicate_pairs", f"WITH {_DEDUPE_CTES} SELECT first_rid, later_rid FROM p")
+@query("near_duplicate_pairs", f"WITH {DEDUPE_CTES} SELECT first_rid, later_rid FROM p")
 def near_duplicate_pairs_query(spark, sf_dir):
     return near_duplicate_pairs(table(spark, sf_dir, "documents"), "text", "doc_id")
 
@@ -125,7 +116,7 @@ def near_duplicate_pairs_query(spark, sf_dir):
 # an earlier neighbour equals the greedy rule (chains are covered by tests).
 @query(
     "near_duplicate_filter",
-    f"""WITH {_DEDUPE_CTES},
+    f"""WITH {DEDUPE_CTES},
 kept AS (SELECT doc_id FROM reps WHERE len(toks) = 0
   UNION ALL SELECT doc_id FROM sets WHERE doc_id NOT IN (SELECT later_rid FROM p))
 SELECT f.doc_id, f.fp AS fingerprint, k.doc_id IS NOT NULL AS keep,
@@ -139,7 +130,7 @@ def near_duplicate_filter_query(spark, sf_dir):
 
 @query(
     "clean_summary",
-    f"""WITH {_DEDUPE_CTES},
+    f"""WITH {DEDUPE_CTES},
 kept AS (SELECT doc_id FROM reps WHERE len(toks) = 0
   UNION ALL SELECT doc_id FROM sets WHERE doc_id NOT IN (SELECT later_rid FROM p))
 SELECT reason, count(*) AS n FROM (

@@ -34,6 +34,8 @@ _EXACT_SIZES = 50
 _CLASS_STEP = 1.02
 # Candidate work per index entry above which crowded buckets are thinned first.
 _CROWDED = 64
+# A thinning round that settles less than this share of the rows is the last one.
+_LEAST_SHRINK = 0.1
 
 
 def _ratio(threshold: float) -> tuple[int, int]:
@@ -89,19 +91,30 @@ def _distinct_sets(firsts: DataFrame) -> DataFrame:
     return canonical.groupBy("scope", "tokens").agg(F.min("rid").alias("rid"))
 
 
-def _ranked_prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+def _hashed(sets: DataFrame) -> DataFrame:
+    return sets.select(
+        "rid", "scope", F.size("tokens").alias("n"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes")
+    )
+
+
+def _frequencies(sets: DataFrame) -> DataFrame:
+    """(token, df): in how many sets each token is."""
+    return _hashed(sets).select(F.explode("hashes").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+
+
+def _ranked_prefixes(sets: DataFrame, threshold: float, frequency: DataFrame | None = None) -> DataFrame:
     """(rid, scope, n, pos, token): the rarest tokens of every comparable set.
 
+    ``frequency`` has an orderable ``df`` for every token; by default it is counted here.
+
     The prefix kept is the longest one any comparable partner can ask for.
     Tokens travel as 64-bit hashes: the filter works under any order of any
     token multiset, so a collision can only add a candidate to verify.
     """
     comparable = sets.where(F.size("tokens") >= _smallest_comparable(threshold))
-    hashed = comparable.select(
-        "rid", "scope", F.size("tokens").alias("n"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes")
-    )
-    entries = hashed.select("rid", "scope", "n", F.explode("hashes").alias("token"))
-    frequency = entries.groupBy("token").agg(F.count("*").alias("df"))
+    entries = _hashed(comparable).select("rid", "scope", "n", F.explode("hashes").alias("token"))
+    if frequency is None:
+        frequency = _frequencies(comparable)
     rarest_first = Window.partitionBy("rid").orderBy("df", "token")
     # Hash-joining spares the sort of every token occurrence: the frequency side
     # has one 16-byte row per distinct token, spread over all partitions.
@@ -183,8 +196,11 @@ def _thin_crowded(ranked: DataFrame, sets: DataFrame, threshold: float) -> tuple
     Returns the prefixes still to be compared and the rows dropped so far.
     """
     dropped = None
-    # Every round settles at least the leader of each crowded bucket, so this ends.
-    while True:
+    rows, left = None, ranked.select("rid").distinct().count()
+    # Each round settles a tenth of the rows at least, so their number is logarithmic;
+    # buckets of unlike rows, whose leaders remove nothing, go on to the pair join.
+    while rows is None or left <= (1 - _LEAST_SHRINK) * rows:
+        rows = left
         index, probe = _index_entries(ranked, threshold), _probe_entries(ranked, threshold)
         load = _bucket_load(index, probe)
         work, entries = load.agg(F.sum(F.col("i") * F.col("p")), F.sum(F.col("i") + F.col("p"))).first()
@@ -207,6 +223,7 @@ def _thin_crowded(ranked: DataFrame, sets: DataFrame, threshold: float) -> tuple
         gone = materialise(_verify(pairs, sets, threshold).select(F.col("later_rid").alias("rid")).distinct())
         dropped = gone if dropped is None else dropped.unionByName(gone)
         ranked = materialise(ranked.join(leaders.unionByName(gone), "rid", "left_anti"))
+        left = ranked.select("rid").distinct().count()
     return ranked, dropped
 
 
@@ -237,6 +254,13 @@ def _settle(pairs: DataFrame) -> DataFrame:
     return dropped
 
 
+def _dropped(ranked: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Distinct rows (rid) that the greedy rule drops among distinct sets and their prefixes."""
+    ranked, thinned = _thin_crowded(ranked, sets, threshold)
+    dropped = _settle(_similar_pairs(ranked, sets, threshold))
+    return (dropped if thinned is None else dropped.unionByName(thinned)).distinct()
+
+
 def _prepared(df: DataFrame, text_col: str, order: str, scope: str | None, conservative: bool) -> DataFrame:
     """Fingerprint and tokens of every row that can be kept."""
     rows = df.where(~tx.is_disposable(F.col(text_col))) if conservative else df
@@ -285,15 +309,11 @@ def near_duplicate_filter(
 
     firsts = materialise(_first_rows(_prepared(df, text_col, order, scope, conservative)))
     sets = materialise(_distinct_sets(firsts))
-    ranked = materialise(_ranked_prefixes(sets, threshold))
-    ranked, thinned = _thin_crowded(ranked, sets, threshold)
-    dropped = _settle(_similar_pairs(ranked, sets, threshold))
-    if thinned is not None:
-        dropped = dropped.unionByName(thinned)
+    dropped = _dropped(materialise(_ranked_prefixes(sets, threshold)), sets, threshold)
     kept = (
         firsts.where(F.size("tokens") == 0)
         .select("rid")
-        .unionByName(sets.select("rid").join(dropped.distinct(), "rid", "left_anti"))
+        .unionByName(sets.select("rid").join(dropped, "rid", "left_anti"))
         .select(F.col("rid").alias(order), F.lit(True).alias("_kept"))
     )
     return (

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from thoughtloom.operators.dedupe import DEFAULT_THRESHOLD
+from thoughtloom.operators.dedupe_index import filter_batch
 from thoughtloom.operators.queue import new_entries
 from thoughtloom.schemas import QUEUE
 
@@ -25,9 +27,15 @@ def start_queue(
     *,
     now: Callable[[], Column] = F.current_timestamp,
     order: str = "scan_order",
+    index: str | None = None,
+    threshold: float = DEFAULT_THRESHOLD,
+    scope: str | None = None,
 ) -> StreamingQuery:
     """Append unseen fragments of a stream to the queue table under ``path``.
 
+    With a folder ``index``, near duplicates of fragments that earlier micro-batches or
+    the same one kept are left out; what was kept is stored there (``dedupe_index``).
+
     Each micro-batch writes its own folder with overwrite, so a batch that is
     replayed after a failure replaces itself instead of adding rows, and ids
     queued by earlier batches are left out by an anti join.
@@ -39,6 +47,8 @@ def start_queue(
         if batch_id > 0:
             stored = spark.read.schema(f"{QUEUE}, batch bigint").option("basePath", path).parquet(path)
             earlier = stored.where(F.col("batch") < batch_id).drop("batch")
+        if index:
+            batch = filter_batch(batch, batch_id, index, "text", order, threshold, scope=scope).where("keep")
         fresh = new_entries(earlier, batch, now(), order)
         fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
