@@ -1,4 +1,5 @@
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,10 +83,16 @@ def test_import_digest_retrieve_feedback(spark, tmp_path):
         [("r1", answer, request["focus_atom_ids"], request["latent_atom_ids"])],
         "run_id string, output_text string, focus_atom_ids array<string>, latent_atom_ids array<string>",
     )
-    used, suggestions = jobs.record_runs(rebuilt, runs)
+    used, suggestions = jobs.record_runs(rebuilt, runs, now())
+    again, _ = jobs.record_runs(used, runs, later())
+    assert again.runs.count() == again.usage.count() == 1 and again.runs.first()["output_text"] == answer
     rows = spark.createDataFrame([(1, "r1", "useful", [], "", "1")], "feedback_id int, run_id string, status string, atom_ids array<string>, note string, suggestion_id string")
-    final, resolved = jobs.apply_feedback(used, rows, suggestions)
+    final, resolved = jobs.apply_feedback(used, rows, later(), suggestions)
     assert resolved.first()["amount"] == 0.18
+    assert final.runs.where(F.col("updated_at") == later()).count() == 1
+    event = final.usage.where("event = 'inspire_feedback'").first()
+    assert (event["target_type"], event["target_id"]) == ("inspire_run", "r1")
+    assert event["metadata"]["bridges_strengthened"] == "1" and event["metadata"]["suggestion_id"] == "1"
     edge = final.feedback_edges.first()
     assert {edge["from_id"], edge["to_id"]} == {first, second} and edge["weight"] == 0.18
     before = {r["id"]: r["activation"] for r in rebuilt.atoms.collect()}
@@ -215,17 +222,19 @@ def test_feedback_reaches_the_graph_and_unknown_ids_fail(spark, tmp_path):
     ids = [r["id"] for r in memory.atoms.orderBy("id").limit(2).collect()]
     schema = "feedback_id int, run_id string, status string, atom_ids array<string>, note string"
     give = lambda k, atoms: spark.createDataFrame([(k, "r1", "useful", atoms, f"n{k}")], schema)
+    with pytest.raises(ValueError, match="unknown run"):
+        jobs.apply_feedback(memory, give(1, ids), now())
     runs = spark.createDataFrame([("r1", "q")], "id string, question string")
-    once, resolved = jobs.apply_feedback(memory, give(1, ids), runs=runs)
+    memory = replace(memory, runs=runs)
+    once, resolved = jobs.apply_feedback(memory, give(1, ids), now())
     _, edges, _ = jobs.export_graph(once)
     assert [r["status"] for r in edges.where("relation = 'inspire_feedback'").collect()] == ["useful"]
-    twice, _ = jobs.apply_feedback(once, give(2, ids), runs=runs)
+    twice, _ = jobs.apply_feedback(once, give(2, ids), now())
     edge = twice.feedback_edges.first()
     assert edge["evidence"]["note"] == "n2" and edge["evidence"]["atom_ids"] == sorted(ids)
-    kept, _ = jobs.apply_feedback(twice, give(3, ids[:1]), runs=runs)
+    kept, _ = jobs.apply_feedback(twice, give(3, ids[:1]), now())
     assert kept.feedback_edges.first()["evidence"]["note"] == "n2"
     for rows, known in ((give(4, ["ghost"]), runs), (give(5, ids), runs.where("false"))):
         with pytest.raises(ValueError, match="unknown"):
-            jobs.apply_feedback(memory, rows, runs=known)
-    appended, events = jobs.run_rows(runs, now())
-    assert appended.count() == events.count() == 1 and jobs.feedback_events(resolved, now()).count() == 1
+            jobs.apply_feedback(replace(memory, runs=known), rows, now())
+    assert kept.usage.count() == 3 and kept.usage.select("id").distinct().count() == 3

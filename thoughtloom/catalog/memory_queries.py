@@ -28,9 +28,11 @@ from thoughtloom.operators import activation as act
 from thoughtloom.operators import feedback as fb
 from thoughtloom.operators import queue as qu
 from thoughtloom.operators import retrieval as rt
+from thoughtloom.operators import runs as rn
 from thoughtloom.operators.fragments import clean_fragments, group_counts, table_counts
 from thoughtloom.operators.suggestions import upsert_suggestions
 from thoughtloom.operators.validation import validate_feedback
+from thoughtloom.plans import memory as jobs
 from thoughtloom.session import materialise, shared_dir
 from thoughtloom.streaming import activation_stream, queue_stream
 
@@ -170,6 +172,13 @@ def retrieval_requests(spark, sf_dir):
     )
 
 
+_BASE = 1704067200
+
+
+def at_minute(minute):
+    return F.timestamp_seconds(F.lit(_BASE) + minute * 60)
+
+
 # --- feedback ----------------------------------------------------------------
 
 # Every event is one feedback on the run of its user; cited atoms follow from
@@ -270,6 +279,97 @@ def unknown_citations(spark, sf_dir):
     return fb.unknown_citations(resolved, known.where(F.right("id", F.lit(1)).isin("0", "2", "4", "6", "8")))
 
 
+def _user_runs(spark, sf_dir):
+    """A run per user of the events."""
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    return users.select(
+        F.concat(F.lit("run"), F.col("user_id").cast("string")).alias("id"),
+        F.concat(F.lit("question "), (F.col("user_id") % 7).cast("string")).alias("question"),
+        F.array(F.concat(F.lit("m"), (F.col("user_id") % 50).cast("string"))).alias("focus_atom_ids"),
+        F.array().cast("array<string>").alias("latent_atom_ids"),
+        F.lit("").alias("output_text"),
+        "user_id",
+    )
+
+
+def _fed_memory(spark, sf_dir):
+    """Even users' runs are stored already; all runs are recorded, then the feedback is applied."""
+    answered = _user_runs(spark, sf_dir)
+    before = rn.run_rows(answered.where("user_id % 2 = 0"), at_minute(F.lit(0)))
+    given = event_feedback(table(spark, sf_dir, "events"))
+    atoms = given.select(F.explode("atom_ids").alias("id")).distinct().select("id", F.lit(0.01).alias("activation"))
+    empty = fb.feedback_pairs(fb.resolve_feedback(given.limit(0))).select(
+        "from_id", "to_id", F.lit(fb.RELATION).alias("relation"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("confidence")
+    )
+    memory = jobs.Memory(atoms=materialise(atoms), feedback_edges=empty, runs=before, usage=rn.run_events(before, at_minute(F.lit(0))))
+    memory, _ = jobs.record_runs(memory, answered, at_minute(F.lit(1)))
+    return jobs.apply_feedback(memory, given, at_minute(F.lit(2)))[0]
+
+
+_RUNS = """us AS (SELECT DISTINCT user_id, 'run' || user_id AS id, 'question ' || (user_id % 7) AS question FROM events)"""
+
+
+@query(
+    "run_append",
+    f"""WITH {_RUNS} SELECT id, question, 'm' || (user_id % 50) AS focus_atom_ids,
+  ({_BASE} + CASE WHEN user_id % 2 = 0 THEN 0 ELSE 60 END)::BIGINT AS created_at, ({_BASE} + 120)::BIGINT AS updated_at FROM us""",
+)
+def run_append(spark, sf_dir):
+    runs = _fed_memory(spark, sf_dir).runs
+    return runs.select(
+        "id", "question", F.array_join("focus_atom_ids", ",").alias("focus_atom_ids"),
+        F.unix_timestamp("created_at").alias("created_at"), F.unix_timestamp("updated_at").alias("updated_at"),
+    )
+
+
+@query(
+    "usage_append",
+    f"""WITH {_FB}, {_RUNS},
+ev2 AS (SELECT 'inspire_run' AS event, id AS target_id, id AS run, '' AS k, question, '' AS status, '' AS atom_ids, '' AS bridges,
+    ({_BASE} + CASE WHEN user_id % 2 = 0 THEN 0 ELSE 60 END)::BIGINT AS created_at FROM us
+  UNION ALL SELECT 'inspire_feedback', run_id, run_id, feedback_id::VARCHAR, NULL, status, array_to_string(ids, ','),
+    (CASE WHEN amount > 0 THEN len(ids) * (len(ids) - 1) // 2 ELSE 0 END)::VARCHAR, ({_BASE} + 120)::BIGINT FROM fbk)
+SELECT {sql_id('event', 'run', 'k')} AS id, event, 'inspire_run' AS target_type, target_id, question,
+  nullif(status, '') AS status, nullif(atom_ids, '') AS atom_ids, nullif(bridges, '') AS bridges, created_at FROM ev2""",
+)
+def usage_append(spark, sf_dir):
+    usage = _fed_memory(spark, sf_dir).usage
+    detail = lambda name: F.col("metadata")[name]
+    return usage.select(
+        "id", "event", "target_type", "target_id", detail("question").alias("question"), detail("status").alias("status"),
+        detail("atom_ids").alias("atom_ids"), detail("bridges_strengthened").alias("bridges"), F.unix_timestamp("created_at").alias("created_at"),
+    )
+
+
+@query(
+    "feedback_applied",
+    f"""WITH {_FB}, {_RUNS},
+g AS (SELECT id, sum(amount::DECIMAL(20,9))::DOUBLE AS gain FROM one WHERE amount > 0 GROUP BY id),
+shown AS (SELECT DISTINCT 'm' || (user_id % 50) AS id FROM us),
+a AS (SELECT DISTINCT id FROM one),
+d AS (SELECT from_id, to_id, sum(least(1e0, amount)::DECIMAL(20,9))::DOUBLE AS gain, min_by({_CONF}, feedback_id) AS fc,
+  sum(({_CONF})::DECIMAL(20,9))::DOUBLE AS cs, count(*) AS n, max(feedback_id) AS last FROM prs GROUP BY 1, 2)
+SELECT 'atom' AS target, a.id, NULL AS to_id, least(1e0, least(1e0, 0.01e0 + CASE WHEN s.id IS NULL THEN 0e0 ELSE 0.08e0 END) + coalesce(gain, 0e0)) AS value,
+  NULL::DOUBLE AS confidence, NULL AS evidence FROM a LEFT JOIN g USING (id) LEFT JOIN shown s ON s.id = a.id
+UNION ALL SELECT 'edge', from_id, to_id, least(1e0, gain), CASE WHEN n = 1 THEN fc ELSE least(0.95e0, fc + (cs - fc) * 0.25e0) END,
+  concat_ws('|', 'inspire_feedback', run_id, f.feedback_id::VARCHAR, f.status, array_to_string(ids, ',')) FROM d JOIN fbk f ON f.feedback_id = d.last""",
+)
+def feedback_applied(spark, sf_dir):
+    memory = _fed_memory(spark, sf_dir)
+    e = "evidence."
+    told = F.concat_ws("|", e + "type", e + "run_id", e + "feedback_id", e + "status", F.array_join(e + "atom_ids", ","))
+    nothing = F.lit(None).cast("string")
+    warmed = memory.atoms.select(
+        F.lit("atom").alias("target"), "id", nothing.alias("to_id"), F.col("activation").alias("value"),
+        F.lit(None).cast("double").alias("confidence"), nothing.alias("evidence"),
+    )
+    return warmed.unionByName(
+        memory.feedback_edges.select(
+            F.lit("edge").alias("target"), F.col("from_id").alias("id"), "to_id", F.col("weight").alias("value"), "confidence", told.alias("evidence")
+        )
+    )
+
+
 @query("usage_event_counts", "SELECT event_type AS event, count(*) AS n FROM events GROUP BY 1")
 def usage_event_counts(spark, sf_dir):
     return group_counts(table(spark, sf_dir, "events").withColumnRenamed("event_type", "event"), "event")
@@ -364,11 +464,6 @@ def feedback_validation(spark, sf_dir):
 
 _MINUTE = "(conv_id * 8 + turn)"
 _ST = "CASE (conv_id + turn) % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'done' WHEN 2 THEN 'skipped' ELSE 'error' END"
-_BASE = 1704067200
-
-
-def at_minute(minute):
-    return F.timestamp_seconds(F.lit(_BASE) + minute * 60)
 
 
 def stored_queue(fragments):

@@ -13,7 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thoughtloom.operators import activation, edges, feedback, queue, retrieval
+from thoughtloom.operators import activation, edges, feedback, queue, retrieval, runs
 from thoughtloom.operators.dedupe import DEFAULT_THRESHOLD, near_duplicate_filter
 from thoughtloom.operators.extraction import atoms_with_policy, extract, outcomes
 from thoughtloom.operators.fragments import cap_per_group, clean_fragments, rules_atoms, table_counts, upsert
@@ -37,6 +37,8 @@ class Memory:
     feedback_edges: DataFrame | None = None
     notes: DataFrame | None = None
     note_tables: NoteTables | None = None
+    runs: DataFrame | None = None
+    usage: DataFrame | None = None
 
     @property
     def note_sources(self) -> DataFrame | None:
@@ -238,49 +240,46 @@ def retrieve(
     return retrieval.retrieval_requests(memory.atoms, questions, warm, cold)
 
 
-def record_runs(memory: Memory, runs: DataFrame) -> tuple[Memory, DataFrame]:
+def record_runs(memory: Memory, answered: DataFrame, now: Column) -> tuple[Memory, DataFrame]:
     """(memory, suggestions) after answered runs.
 
-    Atoms shown to a run - its focus and first three latent ones - are touched;
-    suggestions are the answer's blocks that cite ids the run had seen.
+    The memory's runs and usage events get a row each. Atoms shown to a run - its focus
+    and first three latent ones - are touched; suggestions are the answer's blocks that
+    cite ids the run had seen. Recording a run again appends nothing.
     """
-    shown = runs.select(F.explode(F.concat("focus_atom_ids", F.slice("latent_atom_ids", 1, 3))).alias("id"))
-    touched = activation.touch(memory.atoms, shown, activation.RETRIEVAL_TOUCH)
-    return replace(memory, atoms=touched), extract_suggestions(runs)
-
-
-def run_rows(runs: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """(runs, usage events) to append: the run's own columns, and one event per run."""
-    kept = [c for c in ("id", "question", "focus_atom_ids", "latent_atom_ids", "output_text") if c in runs.columns]
-    events = runs.select(F.lit("retrieval").alias("event"), F.col("id").alias("run_id"), now.alias("created_at"))
-    return runs.select(*kept, now.alias("created_at")), events
-
-
-def feedback_events(resolved: DataFrame, now: Column) -> DataFrame:
-    """Usage events to append: one per feedback row."""
-    return resolved.select(F.lit("feedback").alias("event"), "run_id", now.alias("created_at"))
+    rows = materialise(runs.run_rows(answered, now))
+    shown = answered.select(F.explode(F.concat("focus_atom_ids", F.slice("latent_atom_ids", 1, 3))).alias("id"))
+    recorded = replace(
+        memory,
+        atoms=activation.touch(memory.atoms, shown, activation.RETRIEVAL_TOUCH),
+        runs=runs.append_new(memory.runs, rows),
+        usage=runs.append_new(memory.usage, runs.run_events(rows, now)),
+    )
+    return recorded, extract_suggestions(answered.withColumn("run_id", runs.run_id(answered)))
 
 
-def apply_feedback(
-    memory: Memory, rows: DataFrame, suggestions: DataFrame | None = None, runs: DataFrame | None = None
-) -> tuple[Memory, DataFrame]:
+def apply_feedback(memory: Memory, rows: DataFrame, now: Column, suggestions: DataFrame | None = None) -> tuple[Memory, DataFrame]:
     """(memory, resolved feedback) after a batch of feedback rows.
 
     Positive feedback warms the cited atoms and strengthens bridges between
-    them; the other statuses are only recorded. A row that cites an unknown
-    atom, or (where ``runs`` is given) an unknown run, is an error.
+    them; the other statuses are only recorded. Each row is a usage event and the last
+    update of its run. A row that cites an unknown atom or run is an error.
     """
     resolved = materialise(feedback.resolve_feedback(rows, suggestions))
     if not feedback.unknown_citations(resolved, memory.atoms).isEmpty():
         raise ValueError("feedback cites an unknown atom")
-    if runs is not None:
-        known = runs.select(F.col("id").alias("run_id"))
-        if not resolved.join(known, "run_id", "left_anti").isEmpty():
-            raise ValueError("feedback on an unknown run")
+    if not resolved.isEmpty() and (memory.runs is None or not runs.unknown_runs(resolved, memory.runs).isEmpty()):
+        raise ValueError("feedback on an unknown run")
     merged = feedback.merge_feedback_edges(
         memory.feedback_edges, feedback.feedback_pairs(resolved), "feedback_id"
     )
     return (
-        replace(memory, atoms=feedback.touch_by_feedback(memory.atoms, resolved), feedback_edges=merged),
+        replace(
+            memory,
+            atoms=feedback.touch_by_feedback(memory.atoms, resolved),
+            feedback_edges=merged,
+            runs=runs.touch_runs(memory.runs, resolved, now) if memory.runs is not None else None,
+            usage=runs.append_new(memory.usage, runs.feedback_events(resolved, now)),
+        ),
         resolved,
     )
