@@ -175,15 +175,17 @@ def with_next(docs: DataFrame, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     bounds = _bounds(rows.select("key", F.length("text").alias("n")), bucket_chars)
     if not bounds:
         bounds = [""]
-    placed = rows.select("doc_id", "text", "key", anchors(F.col("text")).alias("anchors"), _bucket(F.col("key"), bounds).alias("own"))
+    placed = rows.select("doc_id", "text", "key", _bucket(F.col("key"), bounds).alias("own"))
     before = (F.col("own") + (len(bounds) - 1)) % len(bounds)
     first = F.split(F.lit(",".join(bounds)), ",")[F.col("own")] == F.col("key")
     at = lambda b, guest: F.struct(b.alias("bucket"), F.lit(guest).alias("guest"))
     places = F.when(first, F.array(at(F.col("own"), 0), at(before, 1))).otherwise(F.array(at(F.col("own"), 0)))
-    dealt = placed.select("doc_id", "text", "key", "anchors", F.explode(places).alias("at"))
-    order = Window.partitionBy("at.bucket").orderBy("at.guest", "key")
+    dealt = placed.select("doc_id", "text", "key", F.explode(places).alias("at")).select("doc_id", "text", "key", "at.bucket", "at.guest")
+    # Anchors are found where the window needs them: only texts are sent.
+    dealt = dealt.repartition("bucket").withColumn("anchors", anchors(F.col("text")))
+    order = Window.partitionBy("bucket").orderBy("guest", "key")
     joined = dealt.select("*", F.lead("text").over(order).alias("next_text"), F.lead("anchors").over(order).alias("next_anchors"))
-    return joined.where("at.guest = 0").select("doc_id", "text", "anchors", "next_text", "next_anchors")
+    return joined.where("guest = 0").select("doc_id", "text", "anchors", "next_text", "next_anchors")
 
 
 def compare(docs: DataFrame) -> DataFrame:
