@@ -134,6 +134,40 @@ def test_transcript_import_falls_back_to_rules(spark):
     assert by_kind["note"]["metadata"]["project"] == "proj" and by_kind["framework"]["metadata"]["extractor"] == "model"
 
 
+def test_incremental_transcripts(spark):
+    sessions = spark.createDataFrame([], "id string, projectName string, platform string, createdAt string, updatedAt string")
+
+    def version(*rows):
+        chats = [(s, f"[User]: {t}", 1, "web", "2024") for s, t in rows]
+        schema = "sessionId string, rawText string, messageCount int, platform string, createdAt string"
+        return join_transcripts(spark.createDataFrame(chats, schema), sessions)
+
+    def changes(feed):
+        return {r["session_id"]: r["change"] for r in feed.collect()}
+
+    def rows(memory):
+        return sorted(map(tuple, memory.atoms.select("id", "text", "created_at", "updated_at").collect()))
+
+    first = version(("a", "the first idea of memory"), ("b", "a decision about tags"), ("c", "this session goes away"), (None, "said without a session"))
+    memory, feed, seen = jobs.incremental_transcripts(empty_memory(spark), first, "db", now())
+    assert changes(feed) == {"a": "added", "b": "added", "c": "added", None: "added"}
+    assert rows(memory) == rows(jobs.import_transcripts(empty_memory(spark), first, "db", now()))
+
+    # b is repeated by a row of its own, a is worded otherwise, d is new; c stays in the memory.
+    second = version((None, "said without a session"), ("b", "a decision about tags"), ("b", "a decision about tags"), ("a", "the first idea of forgetting"), ("d", "a session that is new"))
+    again, feed, seen_2 = jobs.incremental_transcripts(memory, second, "db", later(), seen)
+    assert changes(feed) == {"a": "modified", "b": "modified", "c": "removed", "d": "added"}
+    texts = {r["text"]: (r["created_at"].day, r["updated_at"].day) for r in again.atoms.collect()}
+    assert texts["a decision about tags"] == (1, 2) and texts["a session that is new"] == (2, 2)
+    assert texts["the first idea of memory"] == texts["this session goes away"] == (1, 1)
+    # A run that is repeated because its digests were lost gives the same rows; one on the same version none.
+    assert rows(jobs.incremental_transcripts(again, second, "db", later(), seen)[0]) == rows(again)
+    same, feed, _ = jobs.incremental_transcripts(again, second, "db", now(), seen_2)
+    assert feed.isEmpty() and same is again
+    with pytest.raises(ValueError):
+        jobs.incremental_transcripts(again, second, "db", now(), seen, max_atoms=3)
+
+
 def test_queue_jobs(spark, tmp_path):
     one = clean_fragments(chat_turns(spark, tmp_path / "a", TEXTS[:3] + TEXTS[:1] + ["<command-name> x <command-args>"]))
     two = clean_fragments(chat_turns(spark, tmp_path / "b", TEXTS[:2], "d.jsonl"))

@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from thoughtloom.catalog.common import CONV_CTES, conversation_turns, query, sql_clean, sql_strip, table
+from thoughtloom.catalog.common import CONV_CTES, conversation_turns, query, sql_clean, sql_id, sql_strip, sql_tool_noise, table
 from thoughtloom.operators.extraction import extraction_requests, normalise_signals, outcomes
 from thoughtloom.operators.suggestions import extract_suggestions
+from thoughtloom.plans import memory as jobs
+from thoughtloom.schemas import ATOM
 from thoughtloom.session import shared_dir
 from thoughtloom.sources.chat import read_json_documents, read_json_lines
 from thoughtloom.sources.listings import select_source_files, snapshot_diff
@@ -75,8 +77,7 @@ def chat_message_lists(spark, sf_dir):
 # --- transcripts -------------------------------------------------------------
 
 
-def _chats(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations")
+def _chats(rows):
     marker = F.when(F.col("role") == "user", F.lit("[User]: ")).otherwise(F.lit("[Assistant]:\n"))
     spoken = rows.groupBy("conv_id").agg(
         F.sort_array(F.collect_list(F.struct("turn", F.concat(marker, "text").alias("said")))).alias("turns")
@@ -119,12 +120,12 @@ _JOINED = "session_id, message_count, platform, project, timestamp, sort_time"
 
 @query("transcript_join", f"WITH {_CHATS} SELECT {_JOINED} FROM jn")
 def transcript_join(spark, sf_dir):
-    return join_transcripts(_chats(spark, sf_dir), _sessions(spark, sf_dir)).drop("raw_text")
+    return join_transcripts(_chats(table(spark, sf_dir, "conversations")), _sessions(spark, sf_dir)).drop("raw_text")
 
 
 @query("transcript_join_project", f"WITH {_CHATS} SELECT {_JOINED} FROM jn WHERE pn = 'p4' OR session_id = 'p4'")
 def transcript_join_project(spark, sf_dir):
-    return join_transcripts(_chats(spark, sf_dir), _sessions(spark, sf_dir), project="p4").drop("raw_text")
+    return join_transcripts(_chats(table(spark, sf_dir, "conversations")), _sessions(spark, sf_dir), project="p4").drop("raw_text")
 
 
 @query(
@@ -134,10 +135,52 @@ SELECT 'transcript:s' || conv_id || ':turn[' || (row_number() OVER (PARTITION BY
 FROM t WHERE text <> ''""",
 )
 def transcripts_split(spark, sf_dir):
-    joined = join_transcripts(_chats(spark, sf_dir), _sessions(spark, sf_dir))
+    joined = join_transcripts(_chats(table(spark, sf_dir, "conversations")), _sessions(spark, sf_dir))
     return split_transcripts(joined).select("source", "role", "text")
 
 
+# An earlier version lacks some conversations and the ends of others, and words some openings otherwise.
+_EARLIER = (
+    "SELECT conv_id, turn, role, CASE WHEN conv_id % 11 = 3 AND turn = 0 THEN 'draft ' || text ELSE text END AS text "
+    "FROM conversations WHERE conv_id % 5 <> 0 AND (conv_id % 4 <> 1 OR turn < 2)"
+)
+
+
+def _turn_ctes(prefix, rows):
+    turns = f"""SELECT conv_id AS c, 'transcript:s' || conv_id || ':turn[' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) || ']' AS source,
+  role, {sql_clean('text')} AS text FROM (SELECT * REPLACE ({sql_strip('text')} AS text) FROM ({rows})) WHERE text <> ''"""
+    return f"{prefix}_t AS ({turns}), {prefix} AS (SELECT c, {sql_id('source', 'text')} AS id FROM {prefix}_t WHERE NOT {sql_tool_noise('text')} AND length(text) >= 12)"
+
+
+@query(
+    "incremental_transcripts",
+    f"""WITH {_CHATS}, {_turn_ctes('v1', _EARLIER)}, {_turn_ctes('v2', 'SELECT * FROM conversations')},
+moved AS (SELECT conv_id AS c FROM conversations GROUP BY conv_id
+  HAVING bool_or(conv_id % 5 = 0 OR (conv_id % 4 = 1 AND turn >= 2) OR (conv_id % 11 = 3 AND turn = 0))),
+k AS (SELECT c, id FROM v1 UNION SELECT c, id FROM v2)
+SELECT k.id, project, CASE WHEN EXISTS (FROM v1 WHERE v1.id = k.id) THEN 1 ELSE 2 END::BIGINT AS created_run,
+  CASE WHEN k.c IN (SELECT c FROM moved) AND EXISTS (FROM v2 WHERE v2.id = k.id) THEN 2 ELSE 1 END::BIGINT AS updated_run
+FROM k JOIN jn ON session_id = 's' || k.c""",
+)
+def incremental_transcripts(spark, sf_dir):
+    """Atoms after three runs: an earlier version, the current one, and the current one again."""
+    now_rows = table(spark, sf_dir, "conversations")
+    c, turn = F.col("conv_id"), F.col("turn")
+    worded = F.when((c % 11 == 3) & (turn == 0), F.concat(F.lit("draft "), "text")).otherwise(F.col("text"))
+    earlier = now_rows.where((c % 5 != 0) & ((c % 4 != 1) | (turn < 2))).withColumn("text", worded)
+    sessions = _sessions(spark, sf_dir)
+    memory, seen = jobs.Memory(atoms=spark.createDataFrame([], f"{ATOM}, created_at timestamp, updated_at timestamp")), None
+    for run, rows in enumerate((earlier, now_rows, now_rows), 1):
+        version = join_transcripts(_chats(rows), sessions)
+        memory, _, seen = jobs.incremental_transcripts(memory, version, "chats", F.timestamp_seconds(F.lit(run)), seen)
+    return memory.atoms.select(
+        "id",
+        F.col("metadata")["project"].alias("project"),
+        F.unix_timestamp("created_at").alias("created_run"),
+        F.unix_timestamp("updated_at").alias("updated_run"),
+    )
+
+
 # --- notes -------------------------------------------------------------------
 
 

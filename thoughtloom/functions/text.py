@@ -256,6 +256,12 @@ def short_id(*parts: Column) -> Column:
     return F.substring(F.sha1(joined.cast("binary")), 1, 16)
 
 
+def set_digest(value: Column) -> list[Column]:
+    """Aggregates: sums of two 60-bit parts of each value's digest, the same in any order."""
+    part = lambda start: F.conv(F.substring(F.md5(value.cast("binary")), start, 15), 16, 10)
+    return [F.sum(part(1 + 15 * k).cast("decimal(38,0)")) for k in (0, 1)]
+
+
 def route_from_kind(kind: Column) -> Column:
     result = None
     for name, route in KIND_ROUTES.items():

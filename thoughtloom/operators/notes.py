@@ -62,12 +62,6 @@ def _first_summaries(members: DataFrame, k: int, name: str) -> DataFrame:
     )
 
 
-def _set_digest() -> list[Column]:
-    """Sums of two 60-bit parts of each atom id's digest: the same for a set in any order."""
-    part = lambda start: F.conv(F.substring(F.md5(F.col("id").cast("binary")), start, 15), 16, 10)
-    return [F.sum(part(1 + 15 * k).cast("decimal(38,0)")).alias(f"id_sum_{k}") for k in (0, 1)]
-
-
 @dataclass(frozen=True)
 class NoteTables:
     """Notes of one build. ``headers`` has a row a note; the long tables are made when they are asked for."""
@@ -116,7 +110,7 @@ def build_notes(
             F.bool_or(F.col("atom_type") == "friction_note").alias("any_friction"),
             F.bool_or(F.col("atom_type") == "concept_note").alias("any_concept"),
             F.sum(F.col("activation").cast("decimal(24,12)")).alias("activation_sum"),
-            *_set_digest(),
+            *[s.alias(f"id_sum_{k}") for k, s in enumerate(text.set_digest(F.col("id")))],
         )
         .where(F.col("atom_count") >= min_atoms)
         .join(component_anchor(narrow, components).select("component", "anchor"), "component")

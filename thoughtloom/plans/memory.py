@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thoughtloom.operators import activation, edges, feedback, queue, retrieval, runs
+from thoughtloom.operators.changes import change_feed, changed_rows, content_digests
 from thoughtloom.operators.dedupe import DEFAULT_THRESHOLD, near_duplicate_filter
 from thoughtloom.operators.extraction import atoms_with_policy, extract, outcomes
 from thoughtloom.operators.fragments import cap_per_group, clean_fragments, rules_atoms, table_counts, upsert
@@ -114,6 +115,34 @@ def import_transcripts(
     return replace(memory, atoms=_merged(memory.atoms, batch, "scan_order", now, "last"))
 
 
+def incremental_transcripts(
+    memory: Memory,
+    transcripts: DataFrame,
+    source_file: str,
+    now: Column,
+    seen: DataFrame | None = None,
+    **options,
+) -> tuple[Memory, DataFrame, DataFrame]:
+    """(memory, changes, seen) after importing only the sessions that changed.
+
+    ``seen`` is what the last run returned for the version it read, a digest per session;
+    without it everything is new, as on a forced tick. A changed session is imported as a
+    whole, so its atoms are upserted like those of a full import; those of other sessions
+    are left alone, and removed sessions keep theirs. Store the memory before ``seen``: a
+    run lost between the two is repeated with the same rows. Changes are empty where
+    nothing has to be rebuilt. ``options`` are those of ``import_transcripts``, but for
+    ``max_atoms``, which is a place in the whole scan.
+    """
+    if options.get("max_atoms") is not None:
+        raise ValueError("max_atoms counts over all sessions and can't be kept in an incremental import")
+    current = materialise(content_digests(transcripts, ["session_id"]))
+    feed = materialise(change_feed(current.limit(0) if seen is None else seen, current, ["session_id"]))
+    if feed.where(F.col("change") != "removed").isEmpty():
+        return memory, feed, current
+    fresh = changed_rows(transcripts, feed, ["session_id"])
+    return import_transcripts(memory, fresh, source_file, now, **options), feed, current
+
+
 def digest(memory: Memory, *, min_atoms: int = 2, max_points: int = 5) -> Memory:
     """Rebuild the notes from the atoms (replaces the note tables)."""
     tables = build_notes(memory.atoms, min_atoms=min_atoms, max_points=max_points)
