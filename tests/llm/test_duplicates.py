@@ -53,6 +53,14 @@ def test_line_dedup(spark, documents):
     assert Counter(map(tuple, QUERIES["op6_line_dedup"](spark, folder).collect())) == want
 
 
+def test_lines_of_equal_ids_with_different_texts(spark):
+    shared = "one two three four five six"
+    rows = [(0, shared + "\nnothing like it"), (1, shared + "\nanother line of its own"), (1, "only here unique words kept\n" + shared), (1, "only here unique words kept\n" + shared), (1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"], r["lines"]["n_removed"]) for r in line_dedup.remove_lines(docs).collect())
+    assert got == {(0, rows[0][1], 0): 1, (1, "another line of its own", 1): 1, (1, "only here unique words kept", 1): 2, (1, None, 0): 1}
+
+
 def test_lines_with_one_word_in_very_many(spark):
     """More sets under one word than are compared in the first pass; all are verified."""
     rows = [(i, f"common w{i} x{i}") for i in range(1500)] + [(5000, "common w7 x7"), (5001, "COMMON w8 x8")]

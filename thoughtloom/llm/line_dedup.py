@@ -16,8 +16,10 @@ order: against lines that stand first, then against removed ones, so that a grou
 near copies costs about one comparison each. Shards grow in number with the texts.
 
 Nulls: a null text stays null; rows without an id take no part and are kept whole. Rows
-with equal ids are one document: equal line numbers don't remove each other. Lines
-repeated within a document are removed like others. An empty table gives no rows.
+with equal id and text are one document: equal line numbers don't remove each other. Rows
+with equal ids and different texts are documents of their own, in the order of a digest of
+the text. Lines repeated within a document are removed like others. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -47,6 +49,7 @@ from thoughtloom.llm.common import (
 )
 from thoughtloom.llm.connected import components
 from thoughtloom.llm.kneser_ney import count_words, mapped, numbers, shared_folder, write
+from thoughtloom.operators.ranking import ranked
 from thoughtloom.session import materialise
 
 #: The similarity as a fraction.
@@ -414,16 +417,34 @@ def later_matches(docs: DataFrame, bytes_per_shard: int = 16_000_000) -> DataFra
     return copies.union(near)
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (``__docs``) with the number ``__place`` of their document, null without an id.
+
+    An id is its document's number, unless some id has different texts: then documents are
+    numbered anew, in the order of id and digest.
+    """
+    own, text = F.col("__docs.doc_id").cast("long"), F.col("__docs.text").cast("string")
+    digest = F.xxhash64(text)
+    ids = rows.where(own.isNotNull() & text.isNotNull()).select(own.alias("__own"), digest.alias("__digest"))
+    met = ids.groupBy("__own").agg(F.min("__digest").alias("low"), F.max("__digest").alias("high"))
+    if met.where("low <> high").isEmpty():
+        return rows.withColumn("__place", own)
+    places = ranked(ids.distinct(), [], [F.asc("__own"), F.asc("__digest")], "__place")
+    found = rows.join(places, (own == F.col("__own")) & (digest == F.col("__digest")), "left")
+    return materialise(found.drop("__own", "__digest"))
+
+
 def remove_lines(docs: DataFrame, counts: str = "lines") -> DataFrame:
     """The rows of ``docs`` with their text rewritten, and a struct (n_lines, n_removed) beside it.
 
     The struct is the column ``counts``; one of that name in ``docs`` is replaced. The
     other columns are kept as they are.
     """
-    gone = later_matches(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    rows = _numbered(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__docs")))
+    gone = later_matches(rows.select(F.col("__place").alias("doc_id"), F.col("__docs.text").alias("text")))
+    gone = gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
     gone = gone.select(F.struct(F.col("doc_id"), F.col("gone")).alias("__found"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__docs"))
-    joined = rows.join(gone, F.col("__docs.doc_id").cast("long") == F.col("__found.doc_id"), "left")
+    joined = rows.join(gone, F.col("__place") == F.col("__found.doc_id"), "left")
     text, found = F.col("__docs.text"), F.col("__found.gone")
     lines = F.split(text, "\n")
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(found, i)), "\n")
