@@ -167,7 +167,7 @@ def _rows(columns: tuple[str, ...], rows: list[tuple]) -> pa.RecordBatch:
 
 def _count_words(bits: int):
     def run(batches):
-        for keys, counts in _flushed(sequences(batches, 1_000_000), lambda x: x[1], 2_000_000):
+        for keys, counts in _flushed(sequences(batches, 100_000), lambda x: x[1], 1_000_000):
             shards = by_shard((keys >> np.uint64(64 - bits)).astype(np.int64), 1 << bits)
             yield _rows(("shard", "keys", "counts"), [(s, squeeze_sorted(keys[a:b]), squeeze(counts[a:b])) for s, a, b in shards])
 
