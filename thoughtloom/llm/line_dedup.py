@@ -131,10 +131,9 @@ class Lines:
             if len(own):
                 sizes = self.sizes[lines[own]]
                 tokens = self.words[ranges(self.starts[lines[own]], sizes)]
-                bit = tokens & np.uint64(64 * w - 1)
-                for k in range(w):
-                    flips = np.where(bit >> np.uint64(6) == k, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
-                    out[ends[own] - w + k] = np.bitwise_xor.reduceat(flips, np.cumsum(sizes) - sizes)
+                bit = (tokens & np.uint64(64 * w - 1)).astype(np.int64) + np.repeat(np.arange(len(own)) * (64 * w), sizes)
+                odd = (np.bincount(bit, minlength=len(own) * 64 * w) & 1).astype(np.uint8)
+                out[ranges(ends[own] - w, np.full(len(own), w))] = np.packbits(odd, bitorder="little").view("<u8")
         return out
 
 
@@ -188,12 +187,15 @@ def _posted(folder: str, bits: int, first: tuple[int, ...]):
             if not len(lines.first):
                 continue
             word, line, at = lines.postings()
-            rows = {}
+            rows, sketches, widths = {}, lines.sketches(lines.first), width(lines.sizes[lines.first])
+            ends, nth = np.cumsum(widths), np.empty(len(lines.sizes), np.int64)
+            nth[lines.first] = np.arange(len(lines.first))
             for s, a, b in by_shard((word >> np.uint64(64 - bits)).astype(np.int64), 1 << bits):
                 own, which = np.unique(line[a:b], return_inverse=True)
                 rows[s] = [
                     squeeze_sorted(word[a:b]), squeeze(which.astype(np.uint32)), squeeze(at[a:b].astype(np.uint32)),
-                    squeeze(lines.names[own]), squeeze(lines.sizes[own].astype(np.uint32)), squeeze(lines.sketches(own)),
+                    squeeze(lines.names[own]), squeeze(lines.sizes[own].astype(np.uint32)),
+                    squeeze(sketches[ranges(ends[nth[own]] - widths[nth[own]], widths[nth[own]])]),
                 ]
             name, places = lines.names[lines.first], {}
             for s, a, b in by_shard((name >> np.uint64(64 - bits)).astype(np.int64), 1 << bits):
@@ -278,8 +280,7 @@ def _joined(rows: list[dict]) -> np.ndarray:
     word, at, own = word[new], at[new], own[new]
     size = sets.sizes[own]
     start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-    count = np.diff(np.append(start, len(word)))
-    behind = np.repeat(start + count, count) - np.arange(len(word))
+    stop = np.repeat(np.append(start[1:], len(word)), np.diff(np.append(start, len(word))))
     root, pairs = np.arange(len(sets.names)), []
 
     def find(x: int) -> int:
@@ -288,9 +289,24 @@ def _joined(rows: list[dict]) -> np.ndarray:
             x = root[x]
         return x
 
-    i, step = np.flatnonzero(behind > 1), 1
-    while len(i):
-        j = i + step
+    def run_ends() -> np.ndarray:
+        """Where the postings of a word stop to be of one root, from each on."""
+        last = np.append((root[own[1:]] != root[own[:-1]]) | (word[1:] != word[:-1]), True)
+        ends = np.flatnonzero(last)
+        return np.repeat(ends, np.diff(ends, prepend=-1)) + 1
+
+    # Each posting meets the next ones of its word, and skips runs of its own root. Of two
+    # similar sets, the smaller one has a common word in a prefix for sets of its own size.
+    i, ends, spent = np.flatnonzero(at <= size - least_common(size, size)), np.arange(len(word)) + 1, 0
+    j = i + 1
+    while True:
+        # Sizes ascend: once the next one is too long, all further ones are.
+        fine = j < stop[i]
+        i, j = i[fine], j[fine]
+        fine = size[i] >= least_size(size[j])
+        i, j = i[fine], j[fine]
+        if not len(i):
+            break
         apart = root[own[i]] != root[own[j]]
         a, b = i[apart], j[apart]
         met = sets.may_match(own[a], own[b], at[a], at[b])
@@ -299,13 +315,14 @@ def _joined(rows: list[dict]) -> np.ndarray:
             if x != y:
                 root[max(x, y)] = min(x, y)
                 pairs.append((x, y))
+        spent += len(i)
         if met.any():
             while (root != root[root]).any():
                 root[:] = root[root]
-        step += 1
-        # Sizes ascend: once the next one is too long, all further ones are.
-        i = i[behind[i] > step]
-        i = i[size[i] >= least_size(size[i + step])]
+            if spent >= len(word):
+                ends, spent = run_ends(), 0
+        # Roots only grow together, so what was a run still is one.
+        j = np.where(root[own[i]] == root[own[j]], ends[j], j + 1)
     return np.ascontiguousarray(sets.names[np.array(pairs, np.int64).reshape(-1, 2)]).view(np.int64)
 
 
