@@ -3,12 +3,14 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from llm_words import WORD, lowered
 from pyspark.sql import functions as F
 
-from thoughtloom.llm import connected, line_dedup, simhash
+from thoughtloom.llm import connected, kneser_ney, line_dedup, simhash
 from thoughtloom.llm.catalog import QUERIES
+from thoughtloom.llm.common import mixed, squeeze, squeeze_sorted
 
 
 def sha(text):
@@ -183,3 +185,27 @@ def test_hot_passage_counts_once_a_pack(spark):
     got = {r.doc_id: (r.n_removed, r.removed) for r in substring_dedup.remove_repeats(docs).collect()}
     assert got.pop(0) == (0, []) and all(n == 20 and [tuple(s) for s in spans] == [(1, 21)] for n, spans in got.values())
     assert docs.where(F.col("doc_id") < 0).count() == 0
+
+
+def test_a_missing_array_is_an_error(tmp_path):
+    np.arange(3, dtype="<u8").tofile(tmp_path / "hash-0")
+    assert kneser_ney.present(str(tmp_path), "hash-0", 3).tolist() == [0, 1, 2]
+    assert kneser_ney.numbers(str(tmp_path), 1, (0, 3, 3), np.array([1, 9], np.uint64)).tolist() == [1, -1]
+    assert not len(kneser_ney.present(str(tmp_path), "hash-1", 0))
+    with pytest.raises(FileNotFoundError):
+        kneser_ney.numbers(str(tmp_path), 1, (0, 3, 5), np.array([1, 1 << 63], np.uint64))
+    # Once the mount shows the file, the next try finds it.
+    np.array([1 << 63, (1 << 63) + 1], "<u8").tofile(tmp_path / "hash-1")
+    assert kneser_ney.numbers(str(tmp_path), 1, (0, 3, 5), np.array([1, 1 << 63], np.uint64)).tolist() == [1, 3]
+
+
+def test_lines_of_one_template_join_to_one_tree():
+    """Lines that differ in one word share their frequent words; runs of one root are skipped."""
+    n = 3000
+    empty = squeeze(np.zeros(0, np.uint64))
+    names = mixed(np.arange(n, dtype=np.uint64))
+    row = {"words": squeeze_sorted(np.full(n, 7, np.uint64)), "lines": squeeze(np.arange(n, dtype=np.uint32)),
+           "positions": squeeze(np.zeros(n, np.uint32)), "names": squeeze(names), "sizes": squeeze(np.full(n, 20, np.uint32)),
+           "sketches": squeeze(np.full(n, 5, np.uint64)), "firsts": empty}
+    pairs = line_dedup._joined([row]).view(np.uint64)
+    assert len(pairs) == n - 1 and set(pairs.ravel().tolist()) == set(names.tolist())

@@ -105,6 +105,19 @@ def mapped(folder: str, name: str, dtype: str | None = None) -> np.ndarray:
     return np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
 
 
+def present(folder: str, name: str, length: int) -> np.ndarray:
+    """The mapped array of 64-bit numbers that has been written with so many of them.
+
+    A worker that can't see all of it (a missing or lagging mount) fails, so that its task is
+    tried again, instead of going on without.
+    """
+    found = mapped(folder, name, "<u8") if length else np.zeros(0, "<u8")
+    if len(found) != length:
+        mapped.cache_clear()
+        raise FileNotFoundError(f"{folder}/{name}: {len(found)} of {length} values can be seen")
+    return found
+
+
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and the sums of their counts."""
     if not len(keys):
@@ -195,7 +208,7 @@ def numbers(folder: str, bits: int, first: tuple[int, ...], hashes: np.ndarray)
     """Numbers of ascending word hashes; -1 for words not in the model."""
     out = np.full(len(hashes), -1, np.int64)
     for s, a, b in by_shard((hashes >> np.uint64(64 - bits)).astype(np.int64), 1 << bits):
-        known = mapped(folder, f"hash-{s}", "<u8")
+        known = present(folder, f"hash-{s}", first[s + 1] - first[s])
         if len(known):
             at = np.minimum(np.searchsorted(known, hashes[a:b]), len(known) - 1)
             out[a:b] = np.where(known[at] == hashes[a:b], at + first[s], -1)
@@ -337,7 +350,7 @@ def _looked_up(model: Model, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     place = found[known]
     shard = np.searchsorted(model.first, place, "right") - 1
     for s, a, b in by_shard(shard, 1 << model.word_bits):
-        counts[known[a:b]] = mapped(model.folder, f"count-{s}", "<u8")[place[a:b] - model.first[s]]
+        counts[known[a:b]] = present(model.folder, f"count-{s}", model.first[s + 1] - model.first[s])[place[a:b] - model.first[s]]
     for s, a, b in by_shard(place >> RANGE_BITS, (model.words >> RANGE_BITS) + 1):
         totals[known[a:b]] = mapped(model.folder, f"totals-{s}")[place[a:b] & ((1 << RANGE_BITS) - 1)]
     return found, counts, totals

@@ -48,7 +48,7 @@ from thoughtloom.llm.common import (
     word_spans,
 )
 from thoughtloom.llm.connected import components
-from thoughtloom.llm.kneser_ney import count_words, mapped, numbers, shared_folder, write
+from thoughtloom.llm.kneser_ney import count_words, numbers, present, shared_folder, write
 from thoughtloom.operators.ranking import ranked
 from thoughtloom.session import materialise
 
@@ -88,7 +88,7 @@ class Lines:
         found = numbers(folder, bits, first, distinct)
         times = np.zeros(len(distinct), np.uint64)
         for s, a, b in by_shard((distinct >> np.uint64(64 - bits)).astype(np.int64), 1 << bits):
-            times[a:b] = mapped(folder, f"count-{s}", "<u8")[found[a:b] - first[s]]
+            times[a:b] = present(folder, f"count-{s}", first[s + 1] - first[s])[found[a:b] - first[s]]
         order = np.argsort(times, kind="stable")  # hashes ascend already
         place = np.empty(len(order), np.uint64)
         place[order] = np.arange(len(order), dtype=np.uint64)
@@ -332,12 +332,16 @@ def _write_members(folder: str):
         order, shard = np.argsort(node), table.column("shard")[0].as_py()
         write(folder, f"member-{shard}", node[order])
         write(folder, f"group-{shard}", root[order])
-        return pa.table({"shard": [shard]})
+        return pa.table({"shard": [shard], "members": [len(node)]})
 
     return run
 
 
-def _sent(folder: str, bits: int, first: tuple[int, ...]):
+def _sent(folder: str, bits: int, first: tuple[int, ...], members: dict[int, int]):
+    """Rows for the shards of the groups: the sets of a batch that are in some group.
+
+    ``members`` tells how many sets of each shard are.
+    """
     names = ["shard", "groups", "sets", "docs", "numbers", "sizes", "tokens"]
 
     def run(batches):
@@ -346,12 +350,12 @@ def _sent(folder: str, bits: int, first: tuple[int, ...]):
             own, groups = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             name = lines.names[lines.first]
             for s, a, b in by_shard((name >> np.uint64(64 - bits)).astype(np.int64), 1 << bits):
-                known = mapped(folder, f"member-{s}", "<u8")
+                known = present(folder, f"member-{s}", members.get(s, 0))
                 if len(known):
                     at = np.minimum(np.searchsorted(known, name[a:b]), len(known) - 1)
                     met = known[at] == name[a:b]
                     own.append(lines.first[a:b][met])
-                    groups.append(mapped(folder, f"group-{s}", "<u8")[at[met]])
+                    groups.append(present(folder, f"group-{s}", len(known))[at[met]])
             own, groups = np.concatenate(own), np.concatenate(groups)
             order = np.argsort(groups, kind="stable")
             own, groups = own[order], groups[order]
@@ -425,9 +429,9 @@ def later_matches(docs: DataFrame, bytes_per_shard: int = 16_000_000) -> DataFra
     pairs = answers.where(F.col("a").isNotNull()).select("a", "b")
     members = components(pairs).withColumn("shard", F.shiftrightunsigned("node", 64 - bits))
     # One row a shard; the arrays are in the folder by then.
-    members.groupBy("shard").applyInArrow(_write_members(folder), "shard long").agg(F.count("shard")).collect()
+    written = members.groupBy("shard").applyInArrow(_write_members(folder), "shard long, members long").collect()
     sent = rows.mapInArrow(
-        _sent(folder, bits, first),
+        _sent(folder, bits, first, {r["shard"]: r["members"] for r in written}),
         "shard long, groups binary, sets binary, docs binary, numbers binary, sizes binary, tokens binary",
     )
     near = sent.groupBy("shard").applyInArrow(_verified, REMOVED)
