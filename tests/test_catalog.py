@@ -37,6 +37,8 @@ def test_notes_list_their_sources(spark, tables):
     for r in sorted(QUERIES["note_sources"](spark, path).collect(), key=lambda r: (r["note_id"], r["rank"])):
         sources.setdefault(r["note_id"], []).append((r["atom_id"], r["source"]))
     assert listed and listed.keys() == sources.keys()
+    manifest = {r["id"]: r["source_atom_ids"] for r in QUERIES["note_manifest"](spark, path).collect()}
+    assert manifest == {note: row["source_atom_ids"] for note, row in listed.items()}
     for note, row in listed.items():
         ids, spans = (",".join(x) for x in zip(*sources[note], strict=True))
         assert (row["source_atom_ids"], row["source_spans"]) == (ids, spans) and row["tags"]
