@@ -82,3 +82,25 @@ def test_near_copies_are_those_of_five_word_shingles(spark):
     docs = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string")
     got = [x.doc_id for x in corpus_pipeline.near_copies(spark, docs, "").collect()]
     assert None in got and sorted(x for x in got if x is not None) == want
+
+
+def test_fingerprints_alone_link_close_copies(spark, monkeypatch):
+    """With no key of minimum hashes, copies within the radius of SimHash still meet and are verified."""
+    from thoughtloom.llm import near_copies, simhash
+
+    def no_keys(batches):
+        for batch in batches:
+            yield batch.slice(0, 0).select(["name", "name", "size"]).rename_columns(["key", "name", "size"])
+
+    monkeypatch.setattr(near_copies, "_keyed", no_keys)
+    r, rows = random.Random(4), []
+    for k in range(30):
+        words = [f"w{r.randrange(10**6)}" for _ in range(600)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:300], "altered", *words[301:]]))]
+    rows += [(100, "a b c d e f"), (101, "b a c d e f")]
+    bits = lambda k: (simhash.fingerprint(rows[k][1], 5) ^ simhash.fingerprint(rows[k + 1][1], 5)).bit_count()
+    close = [k for k in range(0, 60, 2) if bits(k) <= near_copies.RADIUS]
+    assert len(close) > 10
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {x.doc_id for x in corpus_pipeline.near_copies(spark, docs, "").collect()}
+    assert kept == {k for k, _ in rows} - {k + 1 for k in close}
