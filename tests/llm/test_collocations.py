@@ -1,7 +1,9 @@
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from thoughtloom.llm import collocations
@@ -81,3 +83,29 @@ def test_index_intervals():
         assert number.max() == len(begin) - 1
     begin, size = index.enumerate(2, np.array([w in (b"to", b"be") for w in [index.words[i] for i in index.first[index.intervals(1)[0]]]]))
     assert {tuple(index.words[i] for i in p): int(n) for *p, n in zip(*index.phrases(begin, 2), size)} == {(b"to", b"be"): 4}
+
+
+def test_memory_of_a_shard():
+    """Peak bytes a place of the steps that hold a whole shard; two workers share an executor with its JVM."""
+    rng = np.random.default_rng(7)
+    shard = collocations._Shard()
+    for _ in range(1 << 14):
+        shard.add([b"w%d" % w for w in rng.zipf(1.4, 16) % 50_000])
+    places = len(shard.ids)
+    row = {"shard": 0, "unit": 0, **shard.row("en", 3)}
+    batch = pa.RecordBatch.from_pylist([row])
+
+    def peak(run, batch):
+        tracemalloc.start()
+        out = sum(1 for _ in run(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert out
+        return most / places
+
+    asked = [r for b in collocations._ask((1, 2), 4)(iter([batch])) for r in b.to_pylist()]
+    judge = collocations._judge(1)
+    told = [r for h in range(16) for r in judge(pa.Table.from_pylist([a for a in asked if a["hash_range"] == h])).to_pylist()]
+    replies = [{k: r[k] for k in ("shard", "length", "hash_range", "bits")} for r in told]
+    assert peak(collocations._ask((1, 2), 4), batch) < 40
+    assert peak(collocations._tell(3, 4), pa.RecordBatch.from_pylist([row | {"replies": replies}])) < 65

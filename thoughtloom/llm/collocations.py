@@ -47,6 +47,8 @@ SHARD_WORDS, UNIT_SHARDS = 1 << 21, 8
 RANGE_HASHES = 1 << 20
 _HASH_BITS = 48
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Phrases that are hashed or spelled at once.
+_BLOCK = 1 << 17
 
 #: Marks between pieces become line feeds, tabs become spaces, A-Z becomes a-z.
 _PLAIN = bytes(10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -74,8 +76,9 @@ class _Shard:
 
     def row(self, lang: str, depth: int) -> dict:
         packer = zstandard.ZstdCompressor(level=3)
+        words, self.numbers = packer.compress(b" ".join(self.numbers)), {}
         transform = burrows_wheeler(np.frombuffer(self.ids, np.int32), depth)
-        return {"lang": lang, "n_words": self.n_words, "words": packer.compress(b" ".join(self.numbers)), "transform": packer.compress(transform.tobytes())}
+        return {"lang": lang, "n_words": self.n_words, "words": words, "transform": packer.compress(transform.tobytes())}
 
 
 def burrows_wheeler(ids: np.ndarray, depth: int) -> np.ndarray:
@@ -84,39 +87,46 @@ def burrows_wheeler(ids: np.ndarray, depth: int) -> np.ndarray:
     for d in range(1, depth):
         if (int(key.max()) + 1) * base >= 1 << 63:
             key = np.unique(key, return_inverse=True)[1].astype(np.int64)
-        key = key * base + np.roll(ids, -d)
-    return np.roll(ids, 1)[np.argsort(key, kind="stable")]
+        key *= base
+        key += np.roll(ids, -d)
+    order = np.argsort(key, kind="stable")
+    del key
+    return np.roll(ids, 1)[order]
 
 
 class Index:
     """FM-index of a shard: intervals of phrases as the places where they begin.
 
     ``first`` is the id that a sorted place begins with, ``ahead`` the sorted place one
-    word further (the inverse of the last-to-first mapping).
+    word further (the inverse of the last-to-first mapping). Places are 32-bit: arrays of
+    all places are most of a task's memory.
     """
 
     def __init__(self, row: dict):
         unpacker = zstandard.ZstdDecompressor()
         self.words = [b"", *unpacker.decompress(row["words"]).split(b" ")]
         transform = np.frombuffer(unpacker.decompress(row["transform"]), np.int32)
-        self.ahead = np.argsort(transform, kind="stable")
+        self.ahead = np.argsort(transform, kind="stable").astype(np.int32)
         self.first = transform[self.ahead]
 
     def intervals(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Begin and size of the intervals of all phrases of a length, and the interval of each place."""
         begins = np.append(True, self.first[1:] != self.first[:-1])
-        inside, at = self.first != 0, np.arange(len(self.first))
+        inside, at = self.first != 0, None
         for _ in range(length - 1):  # to the right, one word at a time
-            at = self.ahead[at]
+            at = self.ahead if at is None else self.ahead[at]
             word = self.first[at]
             begins[1:] |= word[1:] != word[:-1]
             inside &= word != 0
-        start = np.flatnonzero(begins)
-        size = np.diff(np.append(start, len(begins)))
-        number = np.cumsum(begins) - 1
+            del word
+        del at
+        start = np.flatnonzero(begins).astype(np.int32)
+        size = np.diff(start, append=np.int32(len(begins)))
         kept = inside[start]
-        named = np.cumsum(kept) - 1
-        return start[kept], size[kept], np.where(inside, named[number], -1)
+        number = np.cumsum(begins, dtype=np.int32)
+        number = np.append(np.int32(-1), np.cumsum(kept, dtype=np.int32) - np.int32(1))[number]
+        number[~inside] = -1
+        return start[kept], size[kept], number
 
     def phrases(self, begin: np.ndarray, length: int) -> list[np.ndarray]:
         """Word numbers of the phrases whose intervals begin at these places, a column a word."""
@@ -128,9 +138,9 @@ class Index:
 
     def enumerate(self, length: int, alive: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """Begin and size of phrases of a length whose parts one word shorter are alive at both ends."""
-        begin, size, _ = self.intervals(length)
+        begin, size = self.intervals(length)[:2]
         if alive is not None:
-            _, _, part = self.intervals(length - 1)
+            part = self.intervals(length - 1)[2]
             # The last part's interval is found to the right, the first part's around it.
             kept = alive[part[begin]] & alive[part[self.ahead[begin]]]
             begin, size = begin[kept], size[kept]
@@ -141,18 +151,22 @@ def hashes(index: Index, lang: str, begin: np.ndarray, length: int) -> np.ndarra
     """48-bit hashes of phrases and their language."""
     seed = xxhash.xxh64_intdigest(lang.encode())
     words = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in index.words), np.uint64, len(index.words))
-    out = np.full(len(begin), length, np.uint64)
-    for column in index.phrases(begin, length):
-        out = out * _MULTIPLIER + words[column]
-    return mixed(out) >> np.uint64(64 - _HASH_BITS)
+    out = np.empty(len(begin), np.uint64)
+    for at in range(0, len(begin), _BLOCK):
+        part = np.full(len(begin[at : at + _BLOCK]), length, np.uint64)
+        for column in index.phrases(begin[at : at + _BLOCK], length):
+            part = part * _MULTIPLIER + words[column]
+        out[at : at + _BLOCK] = mixed(part) >> np.uint64(64 - _HASH_BITS)
+    return out
 
 
 def asked(index: Index, lang: str, length: int, alive: np.ndarray | None):
     """Ascending hashes of the phrases to ask for, with the begins and sizes of their intervals."""
     begin, size = index.enumerate(length, alive)
     found = hashes(index, lang, begin, length)
-    order = np.argsort(found, kind="stable")
-    return found[order], begin[order], size[order]
+    order = np.argsort(found, kind="stable").astype(np.int32)
+    found.sort()
+    return found, begin[order], size[order]
 
 
 def _ranges(found: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
@@ -168,9 +182,11 @@ def alive_phrases(index: Index, row: dict, length: int, bits: int) -> np.ndarray
         kept = np.zeros(len(found), bool)
         for s, a, b in _ranges(found, bits):
             kept[a:b] = np.unpackbits(np.frombuffer(told[s], np.uint8), count=b - a).astype(bool)
+        del found, told
+        begin = begin[kept]
         _, size, number = index.intervals(n)
         alive = np.zeros(len(size), bool)
-        alive[number[begin[kept]]] = True
+        alive[number[begin]] = True
     return alive
 
 
@@ -178,6 +194,8 @@ def _rows(batches):
     for batch in batches:
         for i in range(batch.num_rows):
             yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
+    # Workers live on: what batches took is given back before the next step.
+    pa.default_memory_pool().release_unused()
 
 
 # -- steps ----------------------------------------------------------------------------
@@ -221,6 +239,8 @@ def index_shards(docs: DataFrame, max_words: int = 3, lang_column: str = "lang",
                         largest = max(held, key=lambda x: held[x].n_words)
                         total -= held[largest].n_words
                         yield flush(largest)
+        batch = text = None
+        pa.default_memory_pool().release_unused()
         for lang in list(held):
             yield flush(lang)
 
@@ -277,20 +297,20 @@ def _tell(max_words: int, bits: int):
 
     def run(batches):
         for row in _rows(batches):
-            index, lang = Index(row), row["lang"]
-            phrases = []
-            for n in range(1, max_words):
-                alive = alive_phrases(index, row, n, bits)
-                begin, size, _ = index.intervals(n)
-                phrases.append((n, begin[alive], size[alive]))
-            phrases.append((max_words, *index.enumerate(max_words, alive)))
-            for n, begin, size in phrases:
-                for at in range(0, len(begin), 1 << 17):
-                    columns = index.phrases(begin[at : at + (1 << 17)], n)
+            index, lang, alive = Index(row), row["lang"], None
+            for n in range(1, max_words + 1):
+                if n < max_words:
+                    alive = alive_phrases(index, row, n, bits)
+                    begin, size = index.intervals(n)[:2]
+                    begin, size = begin[alive], size[alive]
+                else:
+                    begin, size = index.enumerate(n, alive)
+                for at in range(0, len(begin), _BLOCK):
+                    columns = index.phrases(begin[at : at + _BLOCK], n)
                     spelled = [[index.words[i] for i in c.tolist()] for c in columns]
                     texts = pa.array(map(b" ".join, zip(*spelled, strict=True)), pa.binary()).cast(pa.string())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(texts), pa.string()), pa.array(np.full(len(texts), n, np.int32)), texts, pa.array(size[at : at + (1 << 17)].astype(np.int64))],
+                        [pa.array([lang] * len(texts), pa.string()), pa.array(np.full(len(texts), n, np.int32)), texts, pa.array(size[at : at + _BLOCK].astype(np.int64))],
                         ["lang", "size", "phrase", "f"],
                     )
 
