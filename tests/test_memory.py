@@ -136,6 +136,24 @@ def test_latent_equals_brute_force(spark, low, high, focus):
     assert lists == {i: _brute_latent(atoms, q, focus, boosts, 7, 0.45) for i, q in questions.items()}
 
 
+def test_candidates_are_counted_in_bounded_parts(spark, monkeypatch):
+    """Parts grow with the matches, none holds many more than its share, and blocks of questions change nothing."""
+    atoms = spark.range(400).selectExpr(
+        "format_string('a%03d', id) id", "'alpha beta' summary", "concat('gamma w', id % 7) text", "array('ring') tags",
+        "id % 19 / 20D importance", "id % 23 / 24D activation",
+    )
+    questions = spark.range(12).selectExpr("id question_id", "concat('alpha gamma ring w', id % 5) question")
+    none = spark.createDataFrame([], "id string")
+    boosts = none.withColumn("boost", F.lit(0.0))
+    whole = sorted(rt.latent(atoms, questions, none, boosts).collect())
+    monkeypatch.setattr(rt, "PART_MATCHES", 600)
+    monkeypatch.setattr(rt, "BLOCK_KEYS", 20)
+    assert sorted(rt.latent(atoms, questions, none, boosts).collect()) == whole
+    pairs = rt._candidates(atoms.withColumn("boost", F.lit(0.0)), questions, 12, ["id"])
+    sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 400 * 12 and max(sizes) <= 600
+
+
 def test_latent_limit_larger_than_pool(spark):
     schema = "id string, summary string, text string, tags array<string>, importance double, activation double"
     atoms = spark.createDataFrame([("a", "s", "t", ["x"], 0.5, 0.1), ("b", "s", "t", [], 0.4, 0.1)], schema)

@@ -14,12 +14,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thoughtloom.functions import scoring, text
+from thoughtloom.session import materialise
 
 FOCUS_LIMIT = 8
 RETRIEVAL_FOCUS_LIMIT = 6
 LATENT_LIMIT = 12
 ACTIVE_CEILING = 0.45
 BRIDGE_GAIN = 1.2
+#: Matches of atoms and questions that a task counts; keys of questions sent to all tasks at once.
+PART_MATCHES, BLOCK_KEYS = 1 << 19, 1 << 20
 
 
 def focus(atoms: DataFrame, k: int = FOCUS_LIMIT, tie: Sequence[str] = ("id",)) -> DataFrame:
@@ -83,35 +86,66 @@ def _question_tags(pool: DataFrame, questions: DataFrame) -> DataFrame:
     return tags.join(pieces, "piece").select("tag", "question_id")
 
 
-def _candidates(pool: DataFrame, questions: DataFrame, k: int, tie: Sequence[str]) -> DataFrame:
+def _asked_keys(pool: DataFrame, questions: DataFrame) -> DataFrame:
+    """(key, words, tag_hits, question_id, q_words): what an atom can share with a question.
+
+    Keys are words, tags, and one of the best by base, which every question lists.
+    """
+    tokens = text.word_tokens(F.col("question"))
+    sizes = questions.select("question_id", F.size(tokens).alias("q_words"))
+    by_word = questions.select("question_id", F.size(tokens).alias("q_words"), F.explode(tokens).alias("token"))
+    by_word = by_word.withColumn("key", F.concat(F.lit("w"), "token"))
+    by_tag = _question_tags(pool, questions).join(sizes, "question_id").select("question_id", "q_words", F.concat(F.lit("t"), F.col("tag")).alias("key"))
+    seeds = sizes.withColumn("key", F.lit("s"))
+
+    def keyed(df: DataFrame, words: int, tags: int) -> DataFrame:
+        return df.select("key", F.lit(words).alias("words"), F.lit(tags).alias("tag_hits"), "question_id", "q_words")
+
+    return keyed(by_word, 1, 0).unionByName(keyed(by_tag, 0, 1)).unionByName(keyed(seeds, 0, 0))
+
+
+def _atom_keys(pool: DataFrame, k: int, tie: Sequence[str]) -> DataFrame:
+    """The pool's scored columns and the keys of each atom."""
     carried = ["id", "importance", "activation", "boost", *[c for c in tie if c != "id"]]
-    score_cols = pool.select(*carried)
-    ranked_base = {
-        "reliable": scoring.reliable_score(F.col("importance"), F.col("activation"), F.lit(0.0)) + F.col("boost"),
-        "weird": scoring.weird_score(F.col("importance"), F.col("activation"), F.lit(0.0)) + F.col("boost"),
-    }
-    seeds = None
-    for base in ranked_base.values():
-        best = score_cols.orderBy(base.desc(), *[F.asc(c) for c in tie]).limit(k)
-        array = best.select(F.collect_list(F.struct(*carried))).scalar()
-        listed = questions.select("question_id", F.inline(array))
-        seeds = listed if seeds is None else seeds.unionByName(listed)
-
-    tokens = questions.select("question_id", F.explode(text.word_tokens(F.col("question"))).alias("token"))
-    body = F.concat_ws(" ", "summary", "text")
-    by_word = pool.select(*carried, F.explode(text.word_tokens(body)).alias("token")).join(tokens, "token")
-    by_tag = pool.select(*carried, F.explode("tags").alias("tag")).join(_question_tags(pool, questions), "tag")
-
-    def hits(df: DataFrame, words: int, tags: int) -> DataFrame:
-        return df.select("question_id", *carried, F.lit(words).alias("words"), F.lit(tags).alias("tag_hits"))
-
-    rows = hits(seeds, 0, 0).unionByName(hits(by_word, 1, 0)).unionByName(hits(by_tag, 0, 1))
-    # An atom's attributes depend on its id, so max() only carries them along.
-    return rows.groupBy("id", "question_id").agg(
-        *[F.max(c).alias(c) for c in carried if c != "id"],
-        F.sum("words").alias("words"),
-        F.sum("tag_hits").alias("tag_hits"),
-    )
+    seeds = []
+    for score in (scoring.reliable_score, scoring.weird_score):
+        base = score(F.col("importance"), F.col("activation"), F.lit(0.0)) + F.col("boost")
+        best = pool.select(*carried).orderBy(base.desc(), *[F.asc(c) for c in tie]).limit(k)
+        seeds.append(best.select(F.collect_list("id")).scalar())
+    none = F.array().cast("array<string>")
+    words = F.transform(text.word_tokens(F.concat_ws(" ", "summary", "text")), lambda w: F.concat(F.lit("w"), w))
+    tags = F.transform("tags", lambda t: F.concat(F.lit("t"), t))
+    seed = F.when(F.array_contains(F.concat(*seeds), F.col("id")), F.array(F.lit("s")))
+    return pool.select(*carried, F.concat(*[F.coalesce(keys, none) for keys in (words, tags, seed)]).alias("keys"))
+
+
+def _candidates(pool: DataFrame, questions: DataFrame, k: int, tie: Sequence[str]) -> DataFrame:
+    """A row for each atom and question that share a key, with their numbers of words and tags.
+
+    Atoms are dealt by id into as many parts as their matches with the questions fill, so
+    a part's pairs are counted where it is and a task's memory doesn't follow the input.
+    Keys of the questions meet all parts; blocks of questions bound what is sent to them.
+    """
+    atoms = materialise(_atom_keys(pool, k, tie))
+    asked = materialise(_asked_keys(pool, questions))
+    n_keys = asked.count()
+    held = atoms.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("atoms"))
+    matches = asked.groupBy("key").agg(F.count("*").alias("asked")).join(held, "key").agg(F.sum(F.col("asked") * F.col("atoms"))).first()[0] or 0
+    blocks = max(1, -(-n_keys // BLOCK_KEYS))
+    dealt = atoms.repartition(max(1, -(-matches // (PART_MATCHES * blocks))), "id")
+    pairs = None
+    for block in range(blocks):
+        of_block = asked.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == block)
+        by_key = of_block.groupBy("key", "words", "tag_hits").agg(F.collect_list(F.struct("question_id", "q_words")).alias("asked"))
+        met = dealt.withColumn("key", F.explode("keys")).join(F.broadcast(by_key), "key").select("*", F.inline("asked"))
+        # An atom's attributes depend on its id, so max() only carries them along.
+        counted = met.groupBy("id", "question_id").agg(
+            *[F.max(c).alias(c) for c in (*[c for c in atoms.columns if c not in ("id", "keys")], "q_words")],
+            F.sum("words").alias("words"),
+            F.sum("tag_hits").alias("tag_hits"),
+        )
+        pairs = counted if pairs is None else pairs.unionByName(counted)
+    return pairs
 
 
 def latent(
@@ -124,10 +158,12 @@ def latent(
     ceiling: float = ACTIVE_CEILING,
     tie: Sequence[str] = ("id",),
 ) -> DataFrame:
-    """(question_id, rank, id, reliable_rank, weird_rank): interleaved top-k per question."""
+    """(question_id, rank, id, reliable_rank, weird_rank): interleaved top-k per question.
+
+    The words of both sides are written to the shared folder once.
+    """
     pool = _pool(atoms, focus_ids, ceiling).join(boosts, "id", "left").withColumn("boost", F.coalesce("boost", F.lit(0.0)))
-    sizes = questions.select("question_id", F.size(text.word_tokens(F.col("question"))).alias("q_words"))
-    scored = _candidates(pool, questions, k, tie).join(sizes, "question_id")
+    scored = _candidates(pool, questions, k, tie)
     word_overlap = F.when(F.col("q_words") > 0, F.col("words") / F.col("q_words")).otherwise(F.lit(0.0))
     tag_overlap = F.when(F.col("tag_hits") > 0, F.lit(1.0)).otherwise(F.lit(0.0))
     scored = scored.withColumns(
