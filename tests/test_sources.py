@@ -4,6 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from thoughtloom.catalog import source_queries
 from thoughtloom.operators.extraction import atoms_with_policy, extract, normalise_signals, outcomes
 from thoughtloom.operators.fragments import clean_fragments
 from thoughtloom.sources import chat, listings, notes_inbox, sheets, transcripts
@@ -251,3 +252,18 @@ def test_falsy_values_by_their_type(spark, tmp_path):
         ("bob", "c", "1970-01-01T00:00:01+00:00"),
         ("unknown", "d", "1970-01-01T00:00:00+00:00"),
     ]
+
+
+def test_export_documents_hold_many_conversations(spark, tmp_path, monkeypatch):
+    """Files follow the turns, not the conversations; each turn keeps its place in its own conversation."""
+    monkeypatch.setattr(source_queries, "shared_dir", lambda _: str(tmp_path / "shared"))
+    rows = [(c, t, "user" if t % 2 else "assistant", f"turn {t} of {c}") for c in range(300) for t in range(c % 5 + 1)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    monkeypatch.setattr(source_queries, "EXPORT_TURNS", 250, raising=False)
+    got = sorted((r["text"], r["role"], r["place"]) for r in source_queries.chat_export_scan(spark, str(tmp_path)).collect())
+    expected = []
+    for c in range(300):
+        talk = sorted((r for r in rows if r[0] == c), key=lambda r: (-(r[1] // 2), r[1]))
+        expected += [(text, role, place) for place, (_, _, role, text) in enumerate(talk)]
+    assert got == sorted(expected)
+    assert 1 < len(list((tmp_path / "shared").glob("export-*/part-*"))) <= 4

@@ -384,8 +384,11 @@ def suggestions_unchecked(spark, sf_dir):
     return parsed.select("run_id", "position", "suggestion_id", F.array_join("cited_atom_ids", "|").alias("cited"))
 
 
-# Conversation-tree exports: one JSON document per file partition, holding its
-# conversations; node times repeat so that document order settles ties.
+EXPORT_TURNS = 2048
+
+
+# Conversation-tree exports: JSON documents of some hundred conversations each;
+# node times repeat so that document order settles ties.
 @query(
     "chat_export_scan",
     "SELECT role, text, row_number() OVER (PARTITION BY conv_id ORDER BY -(turn // 2), turn) - 1 AS place FROM conversations",
@@ -401,8 +404,9 @@ def chat_export_scan(spark, sf_dir):
     )
     entry = F.struct("turn", F.concat(F.lit("n"), F.col("turn").cast("string")).alias("k"), node.alias("v"))
     talks = rows.groupBy("conv_id").agg(F.map_from_entries(F.transform(F.sort_array(F.collect_list(entry)), lambda e: F.struct(e["k"], e["v"]))).alias("mapping"))
-    # A document per conversation keeps each file small whatever the table size.
-    documents = talks.select(F.to_json(F.array(F.struct("mapping"))))
+    # Documents of about EXPORT_TURNS turns: small whatever the table size, and few enough to list and open.
+    deal = F.pmod(F.xxhash64("conv_id"), F.lit(-(-rows.count() // EXPORT_TURNS) or 1))
+    documents = talks.groupBy(deal).agg(F.to_json(F.collect_list(F.struct("mapping"))).alias("value")).select("value")
     path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
     documents.write.option("maxRecordsPerFile", 1).text(path)
     scanned = read_json_documents(spark, [path], glob="*.txt")
