@@ -1,14 +1,11 @@
 """Near-duplicate filter of a table that grows batch by batch.
 
 What earlier batches kept is stored as tables with a folder a batch: ``kept`` (row,
-fingerprint, tokens), ``index`` (the prefix tokens of each kept set) and ``tokens`` (the
-place of every token in the order of rarity). A token's place never changes once it was
-given: tokens first met in a later batch count as rarer, those of one batch go by their
-count in it. So prefixes of all batches follow one order, and the prefix filter holds
-between them. A batch probes the index in both directions, drops what is similar to a
-kept row, is filtered like a table of its own, and adds what it kept. All batches
-together keep what ``near_duplicate_filter`` keeps of the whole, rows ordered by
-(batch, order).
+fingerprint, digest and hashes of its tokens) and ``index`` (the signatures of each kept
+set). A signature depends on its set alone, so those of all batches meet. A batch probes the
+index in both directions, drops what is similar to a kept row, is filtered like a table of
+its own, and adds what it kept. All batches together keep what ``near_duplicate_filter``
+keeps of the whole, rows ordered by (batch, order).
 
 A batch reads folders of earlier batches only and overwrites its own, so it may be
 replayed after a failure.
@@ -19,7 +16,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thoughtloom.functions import text as tx
 from thoughtloom.operators import dedupe as dd
 from thoughtloom.session import materialise
 
@@ -43,12 +39,6 @@ class KeptIndex:
         rows.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={self.batch_id}")
 
 
-def _with_digest(firsts: DataFrame) -> DataFrame:
-    """Digest of the token set; null without tokens, which only fingerprints compare."""
-    digest = F.sha2(F.array_join(F.sort_array("tokens"), " "), 256)
-    return firsts.withColumn("digest", F.when(F.size("tokens") > 0, digest))
-
-
 def filter_batch(
     batch: DataFrame,
     batch_id: int,
@@ -66,39 +56,32 @@ def filter_batch(
     """
     stored = KeptIndex(path, batch_id)
     rid = F.struct(F.lit(batch_id).cast("bigint").alias("batch"), F.col(order).alias("place"))
-    rows = materialise(batch.withColumns({"_rid": rid, "_disposable": tx.is_disposable(F.col(text_col)) if conservative else F.lit(False)}))
-    prepared = dd._prepared(rows.where(~F.col("_disposable")), text_col, "_rid", scope, False)
-    firsts = _with_digest(dd._first_rows(prepared))
-    firsts = firsts.select("scope", "fingerprint", "rid", "tokens", "digest")
-    earlier = stored.before("kept", firsts)
+    rows = batch.withColumn("_rid", rid)
+    read = dd._read(rows, text_col, "_rid", threshold, scope, conservative)
+    firsts = dd._first_rows(read)
+    like = firsts.join(read.select("rid", "hashes"), "rid").select("scope", "fingerprint", "rid", "digest", "hashes")
+    earlier = stored.before("kept", like)
     fresh = firsts.join(earlier.select("scope", "fingerprint"), ["scope", "fingerprint"], "left_anti")
     fresh = materialise(fresh.join(earlier.select("scope", "digest"), ["scope", "digest"], "left_anti"))
-    sets = materialise(dd._distinct_sets(fresh))
-
-    place = F.struct(F.lit(-batch_id).cast("bigint").alias("age"), F.col("df").alias("n")).alias("df")
-    met = dd._frequencies(sets).select("token", place)
-    known = stored.before("tokens", met)
-    new = materialise(met.join(known, "token", "left_anti"))
-    ranked = materialise(dd._ranked_prefixes(sets, threshold, known.unionByName(new)))
-
-    index = stored.before("index", ranked).join(ranked.select("scope", "token").distinct(), ["scope", "token"], "left_semi")
-    index = materialise(index.select(*ranked.columns))
-    ours, theirs = (dd._index_entries(x, threshold) for x in (ranked, index))
-    pairs = dd._candidates(theirs, dd._probe_entries(ranked, threshold), threshold).unionByName(
-        dd._candidates(ours, dd._probe_entries(index, threshold), threshold)
-    )
-    either = sets.select("rid", "tokens").unionByName(earlier.select("rid", "tokens"))
-    gone = materialise(dd._verify(pairs.distinct(), either, threshold).select(F.col("later_rid").alias("rid")).distinct())
-
-    left, ranked = sets.join(gone, "rid", "left_anti"), materialise(ranked.join(gone, "rid", "left_anti"))
-    dropped = dd._dropped(ranked, materialise(left), threshold)
-    kept_sets = left.select("rid").join(dropped, "rid", "left_anti")
-    kept = materialise(fresh.where(F.size("tokens") == 0).select("rid").unionByName(kept_sets))
-
-    stored.add("kept", fresh.join(kept, "rid", "left_semi").select(*firsts.columns))
-    stored.add("index", ranked.join(kept, "rid", "left_semi").select(*ranked.columns))
-    stored.add("tokens", new)
+    sets = materialise(dd._distinct_sets(fresh, read))
+
+    ours, theirs = dd._entries(sets), dd._entries(stored.before("index", sets))
+    either = read.select("rid", "scope", "hashes").unionByName(earlier.select("rid", "scope", "hashes"))
+    if batch_id:
+        met = [
+            dd._candidates(*dd._split_crowded(dd._index_entries(x, threshold), dd._probe_entries(y, threshold), either, threshold), threshold)
+            for x, y in ((theirs, ours), (ours, theirs))
+        ]
+        gone = materialise(dd._verify(met[0].unionByName(met[1]).distinct(), either, threshold).select(F.col("later_rid").alias("rid")).distinct())
+        sets = sets.join(gone, "rid", "left_anti")
+
+    dropped = dd._dropped(dd._entries(sets), read, threshold)
+    kept_sets = materialise(sets.join(dropped, "rid", "left_anti"))
+    kept = materialise(fresh.where(F.col("n") == 0).select("rid").unionByName(kept_sets.select("rid")))
+
+    stored.add("kept", like.join(kept, "rid", "left_semi").select(*like.columns))
+    stored.add("index", kept_sets)
+    marked = read.select("rid", "disposable").join(kept.withColumn("_kept", F.lit(True)), "rid", "left").withColumnRenamed("rid", "_rid")
     keep = F.coalesce(F.col("_kept"), F.lit(False))
-    reason = F.when(F.col("_disposable"), F.lit("disposable-fragment")).when(keep, F.lit("keep")).otherwise(F.lit("near-duplicate"))
-    marked = kept.select(F.col("rid").alias("_rid"), F.lit(True).alias("_kept"))
-    return rows.join(marked, "_rid", "left").select(*batch.columns, keep.alias("keep"), reason.alias("reason"))
+    reason = F.when(F.col("disposable"), F.lit("disposable-fragment")).when(keep, F.lit("keep")).otherwise(F.lit("near-duplicate"))
+    return rows.join(marked.select("_rid", F.col("disposable"), "_kept"), "_rid", "left").select(*batch.columns, keep.alias("keep"), reason.alias("reason"))
