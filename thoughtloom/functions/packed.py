@@ -47,7 +47,7 @@ def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
         first = int(starts[at])
         stop = max(at + 1, int(np.searchsorted(ends, first + _BLOCK, "right")))
         block = data[first : ends[stop - 1]]
-        power, inverse = _powers(max(_BLOCK, 1 << len(block).bit_length()))
+        power, inverse = _powers(max(_BLOCK, 1 << (len(block) - 1).bit_length()))
         sums = np.zeros(len(block) + 1, np.uint64)
         np.cumsum((block.astype(np.uint64) + np.uint64(1)) * power[: len(block)], out=sums[1:])
         a, b = starts[at:stop] - first, ends[at:stop] - first
@@ -64,9 +64,10 @@ def _spelled(normal: str) -> bytes:
 
 
 def distinct(hashes: np.ndarray, owners: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of each of ``count`` owners in ascending order, and their number by owner."""
-    order = np.lexsort((hashes, owners))
-    hashes, owners = hashes[order], owners[order]
+    """Distinct hashes of each of ``count`` ascending owners in ascending order, and their number by owner."""
+    hashes, ends = hashes.copy(), np.searchsorted(owners, np.arange(count), "right").tolist()
+    for start, end in zip([0, *ends[:-1]], ends, strict=True):
+        hashes[start:end].sort()
     fresh = np.ones(len(hashes), bool)
     fresh[1:] = (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1])
     return hashes[fresh], np.bincount(owners[fresh], minlength=count)

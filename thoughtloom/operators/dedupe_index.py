@@ -1,11 +1,11 @@
 """Near-duplicate filter of a table that grows batch by batch.
 
-What earlier batches kept is stored as tables with a folder a batch: ``kept`` (row,
-fingerprint, digest and hashes of its tokens) and ``index`` (the signatures of each kept
-set). A signature depends on its set alone, so those of all batches meet. A batch probes the
-index in both directions, drops what is similar to a kept row, is filtered like a table of
-its own, and adds what it kept. All batches together keep what ``near_duplicate_filter``
-keeps of the whole, rows ordered by (batch, order).
+What batches had and kept is stored as tables with a folder a batch: ``sets`` (what one pass
+over the texts gives, hashes of all tokens among it), ``kept`` (row, fingerprint and digest)
+and ``index`` (the signatures of each kept set). A signature depends on its set alone, so
+those of all batches meet. A batch is filtered together with the sets kept before, which are
+unlike each other and earlier than its rows, so only its rows go. All batches together keep
+what ``near_duplicate_filter`` keeps of the whole, rows ordered by (batch, order).
 
 A batch reads folders of earlier batches only and overwrites its own, so it may be
 replayed after a failure.
@@ -35,8 +35,11 @@ class KeptIndex:
         )
         return stored.select(*like.columns)
 
-    def add(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={self.batch_id}")
+    def add(self, name: str, rows: DataFrame) -> DataFrame:
+        """``rows`` as they are stored."""
+        path = f"{self.path}/{name}/batch={self.batch_id}"
+        rows.write.mode("overwrite").parquet(path)
+        return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def filter_batch(
@@ -57,31 +60,21 @@ def filter_batch(
     stored = KeptIndex(path, batch_id)
     rid = F.struct(F.lit(batch_id).cast("bigint").alias("batch"), F.col(order).alias("place"))
     rows = batch.withColumn("_rid", rid)
-    read = dd._read(rows, text_col, "_rid", threshold, scope, conservative)
+    read = stored.add("sets", dd._reading(rows, text_col, "_rid", threshold, scope, conservative))
     firsts = dd._first_rows(read)
-    like = firsts.join(read.select("rid", "hashes"), "rid").select("scope", "fingerprint", "rid", "digest", "hashes")
-    earlier = stored.before("kept", like)
+    earlier = stored.before("kept", firsts)
     fresh = firsts.join(earlier.select("scope", "fingerprint"), ["scope", "fingerprint"], "left_anti")
-    fresh = materialise(fresh.join(earlier.select("scope", "digest"), ["scope", "digest"], "left_anti"))
+    fresh = materialise(fresh.join(earlier.select("scope", "digest"), ["scope", "digest"], "left_anti").select(*firsts.columns))
     sets = materialise(dd._distinct_sets(fresh, read))
 
-    ours, theirs = dd._entries(sets), dd._entries(stored.before("index", sets))
-    either = read.select("rid", "scope", "hashes").unionByName(earlier.select("rid", "scope", "hashes"))
-    if batch_id:
-        met = [
-            dd._candidates(*dd._split_crowded(dd._index_entries(x, threshold), dd._probe_entries(y, threshold), either, threshold), threshold)
-            for x, y in ((theirs, ours), (ours, theirs))
-        ]
-        gone = materialise(dd._verify(met[0].unionByName(met[1]).distinct(), either, threshold).select(F.col("later_rid").alias("rid")).distinct())
-        sets = sets.join(gone, "rid", "left_anti")
-
-    dropped = dd._dropped(dd._entries(sets), read, threshold)
-    kept_sets = materialise(sets.join(dropped, "rid", "left_anti"))
+    either = read.unionByName(stored.before("sets", read))
+    dropped = dd._dropped(sets.unionByName(stored.before("index", sets)), either, threshold)
+    kept_sets = stored.add("index", sets.join(dropped, "rid", "left_anti"))
     kept = materialise(fresh.where(F.col("n") == 0).select("rid").unionByName(kept_sets.select("rid")))
+    stored.add("kept", fresh.join(kept, "rid", "left_semi").select(*firsts.columns))
 
-    stored.add("kept", like.join(kept, "rid", "left_semi").select(*like.columns))
-    stored.add("index", kept_sets)
-    marked = read.select("rid", "disposable").join(kept.withColumn("_kept", F.lit(True)), "rid", "left").withColumnRenamed("rid", "_rid")
+    marked = read.select("rid", "disposable").join(kept.withColumn("_kept", F.lit(True)), "rid", "left")
     keep = F.coalesce(F.col("_kept"), F.lit(False))
-    reason = F.when(F.col("disposable"), F.lit("disposable-fragment")).when(keep, F.lit("keep")).otherwise(F.lit("near-duplicate"))
-    return rows.join(marked.select("_rid", F.col("disposable"), "_kept"), "_rid", "left").select(*batch.columns, keep.alias("keep"), reason.alias("reason"))
+    reason = F.when(F.col("_disposable"), F.lit("disposable-fragment")).when(keep, F.lit("keep")).otherwise(F.lit("near-duplicate"))
+    marked = marked.select(F.col("rid").alias("_rid"), F.col("disposable").alias("_disposable"), "_kept")
+    return rows.join(marked, "_rid", "left").select(*batch.columns, keep.alias("keep"), reason.alias("reason"))

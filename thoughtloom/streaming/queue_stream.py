@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from thoughtloom.operators.dedupe import DEFAULT_THRESHOLD
 from thoughtloom.operators.dedupe_index import filter_batch
-from thoughtloom.operators.queue import new_entries
+from thoughtloom.operators.queue import chosen_entries, new_entries
 from thoughtloom.schemas import QUEUE
 
 
@@ -48,8 +48,10 @@ def start_queue(
             stored = spark.read.schema(f"{QUEUE}, batch bigint").option("basePath", path).parquet(path)
             earlier = stored.where(F.col("batch") < batch_id).drop("batch")
         if index:
-            batch = filter_batch(batch, batch_id, index, "text", order, threshold, scope=scope).where("keep")
-        fresh = new_entries(earlier, batch, now(), order)
+            judged = filter_batch(batch, batch_id, index, "text", order, threshold, scope=scope)
+            fresh = chosen_entries(earlier, batch, judged.where("keep").select("id", order), now(), order)
+        else:
+            fresh = new_entries(earlier, batch, now(), order)
         fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
